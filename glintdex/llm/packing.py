@@ -73,6 +73,19 @@ def first_patterns(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[
     return columns, order
 
 
+def inverse_of(columns: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The inverse of ``first_patterns``' columns, which are lower triangular with their rows in ``order``.
+
+    Here and below einsum stands for products: BLAS with threads can hang in a process that has started a JVM.
+    """
+    lower, out = columns[order], np.zeros(columns.shape)
+    for j in range(len(order)):
+        out[j] = -np.einsum("i,ij->j", lower[j, :j], out[:j])
+        out[j, order[j]] += 1
+        out[j] /= lower[j, j]
+    return out
+
+
 def best_pattern(lengths: np.ndarray, price: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     """The knapsack's dynamic program: the dearest multiset of lengths within ``size``."""
     ok = price > 1e-12
@@ -102,9 +115,9 @@ def patterns(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 2e
     Stops when no pattern is worth more than 1 + ``gap`` at the dual prices (then the program is within ``gap`` of its
     least), when every sequence is full, or after ``pivots`` exchanges.
     """
-    columns, _ = first_patterns(lengths, demand, size)
-    inverse = np.linalg.inv(columns)
-    times = np.maximum(inverse @ demand, 0)
+    columns, order = first_patterns(lengths, demand, size)
+    inverse = inverse_of(columns, order)
+    times = np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
     least = float(lengths @ demand) / size
     for _ in range(pivots):
         if times.sum() <= least * (1 + gap / 10):
@@ -112,7 +125,7 @@ def patterns(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 2e
         worth, column = best_pattern(lengths, inverse.sum(axis=0), size)
         if worth <= 1 + gap:
             break
-        step = inverse @ column
+        step = np.einsum("ij,j->i", inverse, column)
         ratio = np.where(step > 1e-9, times / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
