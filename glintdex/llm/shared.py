@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
-A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
