@@ -279,6 +279,20 @@ def near_duplicates(docs: DataFrame, span: int = 5) -> DataFrame:
     return rows.join(final, "same", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, span: int = 5) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of near duplicates: the one with the smallest id.
+
+    Of rows that repeat an id, one stays; rows without an id all stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    judged = scratch.keep(near_duplicates(docs, span), "judged")
+    gone = judged.where("doc_id != component_id").select(F.col("doc_id").alias("gone__")).distinct()
+    at = F.col("doc_id").cast("long") == F.col("gone__")
+    kept = docs.join(F.broadcast(gone) if is_small(gone, SMALL) else gone, at, "left_anti")
+    again = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """The contract's columns, on four-word shingles."""
     return near_duplicates(docs, 4).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
