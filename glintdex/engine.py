@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -108,8 +109,6 @@ class Engine:
         return ScanResult(**counts, directories=folders)
 
     def _gone(self, docs: DataFrame) -> DataFrame:
-        import pandas as pd
-
         @F.pandas_udf("boolean")
         def there(paths: pd.Series) -> pd.Series:
             return paths.map(os.path.exists)

@@ -10,9 +10,12 @@ import json
 import os
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from glintdex.functions import text as T
 
@@ -141,9 +144,8 @@ def listing(spark: SparkSession, path: str, ignored: tuple[str, ...] = T.IGNORED
 
 def read_bytes(files: DataFrame) -> DataFrame:
     """``files`` with ``bytes``, null where a file can't be read."""
-    import pyarrow as pa
-
-    at = files.columns.index("path")
+    names = files.columns
+    at = names.index("path")
 
     def run(batches):
         for batch in batches:
@@ -154,9 +156,9 @@ def read_bytes(files: DataFrame) -> DataFrame:
                         found = f.read()
                 except OSError:
                     found = None
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([found], pa.binary())], [*files.columns, "bytes"])
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([found], pa.binary())], [*names, "bytes"])
 
-    return files.mapInArrow(run, files.schema.add("bytes", "binary"))
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("bytes", BinaryType())]))
 
 
 def pdf_text(data: bytes | None) -> str | None:
@@ -174,8 +176,6 @@ def pdf_text(data: bytes | None) -> str | None:
 
 def corpus(files: DataFrame, max_text: int, max_pdf: int) -> DataFrame:
     """Listed files as the index wants them.  Large files are not opened."""
-    import pandas as pd
-
     from glintdex.operators.index import is_large
 
     @F.pandas_udf("string")

@@ -20,13 +20,20 @@ from pyspark.sql import types as T
 from glintdex.operators.index import Index
 
 FORMAT = 2
-_S = T.StructType
+_NAMES = {"STRING": T.StringType(), "BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "ARRAY<INT>": T.ArrayType(T.IntegerType())}
+
+
+def _schema(ddl: str) -> T.StructType:
+    """Spark's own parser needs a session, which there may not be yet."""
+    return T.StructType([T.StructField(name, _NAMES[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
 SCHEMAS = {
-    "docs": _S.fromDDL("doc_id BIGINT, path STRING, file_name STRING, extension STRING, size_bytes BIGINT, last_modified BIGINT, indexed_at BIGINT, token_count INT"),
-    "postings": _S.fromDDL("term STRING, doc_id BIGINT, positions ARRAY<INT>, freq INT"),
-    "vocab": _S.fromDDL("term STRING, df BIGINT, cf BIGINT, term_len INT"),
-    "stats": _S.fromDDL("n BIGINT, avgdl DOUBLE, tokens BIGINT"),
-    "content": _S.fromDDL("doc_id BIGINT, content STRING"),
+    "docs": _schema("doc_id BIGINT, path STRING, file_name STRING, extension STRING, size_bytes BIGINT, last_modified BIGINT, indexed_at BIGINT, token_count INT"),
+    "postings": _schema("term STRING, doc_id BIGINT, positions ARRAY<INT>, freq INT"),
+    "vocab": _schema("term STRING, df BIGINT, cf BIGINT, term_len INT"),
+    "stats": _schema("n BIGINT, avgdl DOUBLE, tokens BIGINT"),
+    "content": _schema("doc_id BIGINT, content STRING"),
 }
 
 
