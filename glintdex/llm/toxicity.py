@@ -10,8 +10,7 @@ Training is by the window: of a text only its most suspicious window is learned
 and n-grams, then by the network itself), for toxic and clean texts alike.  It takes a bounded sample of labelled rows
 (``MOST`` of each kind, those with the least hash of their id) and runs in one task.
 
-Defined results: null and empty texts and texts without letters get the score that the curve gives a blank window;
-texts are read whole; repeated rows score alike; with no labelled rows of both kinds every score is 0; only id and
+Defined results: null and empty texts and texts without letters score 0; texts are read whole; repeated rows score alike; with no labelled rows of both kinds every score is 0; only id and
 text are read, so other columns can't clash.
 """
 
@@ -250,16 +249,14 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 8, batch: int = 64,
         order = rng.permutation(np.concatenate([pos, neg]))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            # A window without words is clean.
-            blank = np.full((1, WINDOW), -1)
-            used, local = np.unique(np.concatenate([index[pick], blank]), return_inverse=True)
-            local = local.reshape(len(pick) + 1, -1) - 1
+            used, local = np.unique(np.append(index[pick], -1), return_inverse=True)
+            local = local[:-1].reshape(len(pick), -1) - 1
             used = used[1:]
             if not len(used):
                 continue
             sent, x = net.inputs(own[used], g[used])
             s, kept = net.forward(sent, local, keep=True)
-            target = np.append(toxic[owner[pick]], False).astype(np.float32) * 0.96 + 0.02
+            target = toxic[owner[pick]].astype(np.float32) * 0.96 + 0.02
             grads, dsent = net.backward(kept, local, (_sigmoid(s) - target).astype(np.float32) / len(pick), len(used))
             grads["win"], grads["bin"] = x.T @ dsent, dsent.sum(axis=0)
             dx = dsent @ net.p["win"].T
@@ -335,6 +332,7 @@ class Scorer:
         score = np.concatenate([self.net.forward(self.sent, index[at : at + BATCH]) for at in range(0, len(index), BATCH)])
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, owner, score)
+        top[[not w for w in cut]] = -np.inf
         return _sigmoid(self.net.curve[0] * top + self.net.curve[1])
 
 
