@@ -220,3 +220,17 @@ def digests(rows: DataFrame) -> DataFrame:
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     own = narrow(rows, conv_id="long", turn="long", role="string", text="string")
     return read_back(format_conversations(own.unionByName(probe))).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", F.col("valid"))
+
+
+#: The same in DuckDB's SQL: lengths of the template's parts, escapes counted, and the machine as a pattern over roles.
+ORACLE = f"""
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT * FROM (VALUES {", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in PROBE)})),
+sized AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\\\|</turn>|###')) + length(chr(10) || '</turn>' || chr(10))
+                 + CASE role WHEN 'system' THEN length('### System:') WHEN 'user' THEN length('### User:') WHEN 'assistant' THEN length('### Assistant:') END + 1 AS chars,
+                 CASE WHEN role = 'assistant' THEN text ELSE '' END AS masked FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(length(masked)) AS BIGINT) AS loss_chars, sha256(string_agg(masked, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+       regexp_full_match(string_agg(role[1], '' ORDER BY turn, role, text), 's?(ua)+') AS valid
+FROM sized GROUP BY conv_id
+"""

@@ -296,3 +296,19 @@ def keep_one(docs: DataFrame, span: int = 5) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """The contract's columns, on four-word shingles."""
     return near_duplicates(docs, 4).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: The same in DuckDB's SQL, by counting shared shingles of all pairs that share one.
+ORACLE = """
+WITH RECURSIVE cut AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM cut),
+classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+each AS (SELECT rep, n, unnest(s) AS sh FROM classes),
+pairs AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM each a JOIN each b ON a.sh = b.sh AND a.rep < b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (na + nb - k) UNION ALL SELECT b, a FROM pairs WHERE 100 * k >= 80 * (na + nb - k)),
+reach(a, b) AS (SELECT rep, rep FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+label AS (SELECT a AS rep, min(b) AS label FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(label, doc_id) AS component_id, doc_id = coalesce(label, doc_id) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN label ON classes.rep = label.rep
+"""

@@ -61,16 +61,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-NEAREST_SQL = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
-          FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.ORACLE, "op7_license_scans": licences.ORACLE}
+    return {
+        "op1_warc": warc.ORACLE,
+        "op3_line_dedup": lines.ORACLE,
+        "op5_chat_formatting": chat.ORACLE,
+        "op7_license_scans": licences.ORACLE,
+        "op8_minhash": minhash.ORACLE,
+        "op10_nearest_neighbours": vptree.ORACLE,
+    }

@@ -31,13 +31,14 @@ SHARD, QUERIES, LEAF = 8192, 256, 128
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """All distances between rows of ``q`` and of ``x``."""
-    out = np.empty((len(q), len(x)))
-    step = max(1, (1 << 21) // max(1, x.size))
-    for at in range(0, len(q), step):
-        d = q[at : at + step, None, :] - x[None, :, :]
-        out[at : at + step] = np.sqrt(np.einsum("qxd,qxd->qx", d, d))
-    return out
+    """All distances between rows of ``q`` and of ``x``; squares are summed in the order of the components."""
+    q, x = (np.ascontiguousarray(m.T, np.float64) for m in (q, x))
+    total = np.zeros((q.shape[1], x.shape[1]))
+    for a, b in zip(q, x, strict=True):
+        d = a[:, None] - b
+        d *= d
+        total += d
+    return np.sqrt(total)
 
 
 class Tree:
@@ -213,6 +214,17 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, factor: float = 1.0
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+#: The same in DuckDB's SQL, by comparing all pairs.
+ORACLE = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda s, x: s + x)) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def every_hundredth(table: DataFrame, factor: float = 1.0) -> DataFrame:
     """The contract's queries: rows whose id is divisible by 100."""
     return nearest(table, F.col("vec_id") % 100 == 0, 10, factor)

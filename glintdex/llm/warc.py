@@ -301,3 +301,14 @@ def digests(pages: DataFrame) -> DataFrame:
     folder, shards = archive(pages)
     return look_up(narrow(pages, page_id="long", url="string"), folder, shards)
 
+
+
+#: The same in DuckDB's SQL; each 20 bits of the SHA-1 are four characters of base32.
+ORACLE = """
+WITH own AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+last AS (SELECT h, max(page_id) AS ref FROM own GROUP BY h)
+SELECT page_id, CAST(strlen(own.h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = ref THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> ref THEN ref END AS refers_to
+FROM own JOIN last ON own.h = last.h
+"""
