@@ -467,6 +467,28 @@ def scan_dir_docfs(spark, sf_dir):
     return docfs.listing(spark, os.path.dirname(os.path.abspath(__file__))).select("file_name", "size_bytes", "supported")
 
 
+@query()
+def watch_microbatch(spark, sf_dir):
+    """A few documents as files, indexed, changed, and followed by one run of the stream."""
+    import os
+    import tempfile
+
+    from glintdex.engine import Engine
+
+    home = tempfile.mkdtemp(prefix="glintdex-")
+    folder = os.path.join(home, "files")
+    os.mkdir(folder)
+    for r in corpus(spark, sf_dir).where("doc_id < 6 and extension != '.pdf'").select("file_name", "content").collect():
+        with open(os.path.join(folder, r["file_name"]), "w") as f:
+            f.write(r["content"])
+    engine = Engine(spark, home)
+    engine.add(folder)
+    with open(os.path.join(folder, "fresh.txt"), "w") as f:
+        f.write("brandnew words")
+    engine.watch(available_now=True).awaitTermination()
+    return engine.index().docs.select("file_name", "token_count")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search from raw documents to ranked results."""
     return S.search(I.build(corpus(spark, sf_dir), now=0), QuerySpec("worthless clown thtion"))

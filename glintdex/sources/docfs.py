@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from glintdex.functions import text as T
+from glintdex.functions.text import EXTENSIONS, IGNORED
 
 LISTING = "path string, file_name string, size_bytes long, last_modified long, supported boolean, error string"
 EVENTS = "op string, " + LISTING
@@ -44,7 +47,7 @@ def walk(root: str, ignored: tuple[str, ...]) -> Iterator[tuple]:
             path = os.path.join(folder, name)
             try:
                 s = os.lstat(path)
-                yield path, name, s.st_size, s.st_mtime_ns // 1_000_000, suffix(name) in T.EXTENSIONS, None
+                yield path, name, s.st_size, s.st_mtime_ns // 1_000_000, suffix(name) in EXTENSIONS, None
             except OSError as e:
                 yield path, name, None, None, False, str(e)
     yield from errors
@@ -55,7 +58,7 @@ class _Batch(DataSourceReader):
 
     def __init__(self, options: dict):
         self.root = os.path.abspath(os.path.expanduser(options["path"]))
-        self.ignored = tuple(json.loads(options.get("ignored", json.dumps(T.IGNORED))))
+        self.ignored = tuple(json.loads(options.get("ignored", json.dumps(IGNORED))))
 
     def partitions(self) -> list[InputPartition]:
         closed = os.path.basename(self.root) in self.ignored or os.path.basename(self.root).startswith(".")
@@ -80,7 +83,7 @@ class _Changes(SimpleDataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.roots = [os.path.abspath(os.path.expanduser(p)) for p in json.loads(options.get("paths", "null")) or [options["path"]]]
-        self.ignored = tuple(json.loads(options.get("ignored", json.dumps(T.IGNORED))))
+        self.ignored = tuple(json.loads(options.get("ignored", json.dumps(IGNORED))))
 
     def initialOffset(self) -> dict:
         return {"seen": "{}"}
@@ -133,11 +136,13 @@ class DocFsChanges(DocFs):
 
 
 def register(spark: SparkSession) -> None:
+    """Spark plans Python sources in processes that may lack this package, so their classes travel by value."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(DocFs)
     spark.dataSource.register(DocFsChanges)
 
 
-def listing(spark: SparkSession, path: str, ignored: tuple[str, ...] = T.IGNORED) -> DataFrame:
+def listing(spark: SparkSession, path: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     register(spark)
     return spark.read.format("docfs").option("path", path).option("ignored", json.dumps(ignored)).load()
 
