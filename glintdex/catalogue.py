@@ -307,6 +307,32 @@ def batch_keyword_search(spark, sf_dir):
     return S.batch_keyword(index(spark, sf_dir), asked, "item_id", "text").withColumn("score", F.round("score", 6))
 
 
+ASKED = [(1, "wor clo wor"), (2, "src1 the"), (3, "zzz")]
+TYPOS = [(1, "worthles clwn worthles"), (2, "idiott ab"), (3, "patheticc thanedbel")]
+
+
+def _batch(expanded: str) -> str:
+    """``expanded``: a query for (query_id, term, weight)."""
+    return f"""{BASE}, matches AS ({expanded})
+SELECT query_id, doc_id, round(sum({_BM25} * weight * {_BOOST}), 6) AS score FROM matches JOIN vocab USING (term) JOIN postings USING (term) JOIN docs USING (doc_id), stats GROUP BY query_id, doc_id"""
+
+
+def _values(asked: list[tuple[int, str]]) -> str:
+    return ", ".join(f"(CAST({q} AS BIGINT), '{t}')" for q, raw in asked for t in raw.split() if t not in T.STOP_WORDS)
+
+
+@query(_batch(f"SELECT query_id, term, sum(length(asked) * 1.0 / length(term)) AS weight FROM (VALUES {_values(ASKED)}) a(query_id, asked) JOIN vocab ON starts_with(term, asked) GROUP BY query_id, term"))
+def batch_prefix_search(spark, sf_dir):
+    asked = spark.createDataFrame(ASKED, "query_id long, raw_query string")
+    return S.batch_prefix(index(spark, sf_dir), asked).withColumn("score", F.round("score", 6))
+
+
+@query(_batch(f"SELECT query_id, term, sum(CASE levenshtein(asked, term) WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 ELSE 0.5 END) AS weight FROM (VALUES {_values(TYPOS)}) a(query_id, asked) JOIN vocab ON levenshtein(asked, term) <= 2 GROUP BY query_id, term"))
+def batch_fuzzy_search(spark, sf_dir):
+    asked = spark.createDataFrame(TYPOS, "query_id long, raw_query string")
+    return S.batch_fuzzy(index(spark, sf_dir), asked).withColumn("score", F.round("score", 6))
+
+
 # Statistics.
 
 
@@ -400,6 +426,11 @@ def large_file_metadata_only(spark, sf_dir):
 # Scalar functions.
 
 
+@query(f"WITH {CORPUS_SQL} SELECT doc_id, CASE WHEN length(path) > 20 THEN concat('...', right(path, 17)) ELSE path END AS path, concat(repeat('#', CAST(floor((doc_id % 11) * 20 / 10.0) AS INT)), repeat('-', 20 - CAST(floor((doc_id % 11) * 20 / 10.0) AS INT))) AS bar FROM corpus")
+def display_text(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", T.shorten(F.col("path"), 20).alias("path"), T.progress_bar(F.col("doc_id") % 11, F.lit(10), 20).alias("bar"))
+
+
 @query(f"WITH {CORPUS_SQL}, s AS (SELECT doc_id, size_bytes * doc_id * doc_id AS b FROM corpus) SELECT doc_id, CASE WHEN b >= 1073741824 THEN printf('%.1f GB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0) ELSE concat(b, ' B') END AS size FROM s")
 def human_size(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", T.human_size(F.col("size_bytes") * F.col("doc_id") * F.col("doc_id")).alias("size"))

@@ -77,6 +77,17 @@ def age_label(modified: Column, now: int) -> Column:
     return out
 
 
+def shorten(text: Column, most: int) -> Column:
+    """The end of a text that is longer than ``most``, after dots."""
+    return F.when(F.length(text) > most, F.concat(F.lit("..."), F.right(text, F.lit(max(0, most - 3))))).otherwise(text)
+
+
+def progress_bar(done: Column, total: Column, width: int = 30) -> Column:
+    """A bar of ``width`` characters, filled by the share that is done."""
+    full = F.when(total > 0, F.least(F.lit(width), F.floor(done * width / total))).otherwise(0).cast("int")
+    return F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), F.lit(width) - full))
+
+
 def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"[^\s\x1c-\x1f]")
 

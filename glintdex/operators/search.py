@@ -184,18 +184,57 @@ def top(index: Index, spec: QuerySpec, k: int = SNIPPETS, before: str = "", afte
     return found.select("rank", *RESULT, T.snippet(F.col("content"), spec.parsed().terms, before, after).alias("snippet")).orderBy("rank")
 
 
-def batch_keyword(index: Index, asked: DataFrame, key: str = "query_id", text: str = "raw_query") -> DataFrame:
-    """Keyword search of many queries at once: ``key``, doc_id and score.  Repeated terms weigh again."""
-    terms = asked.select(F.col(key).alias("query_id"), F.explode(T.tokenize(F.col(text))).alias("term"))
-    terms = terms.groupBy("query_id", "term").agg(F.count("*").alias("weight")).join(index.vocab.select("term", "df"), "term")
+def batch_scores(index: Index, matches: DataFrame) -> DataFrame:
+    """query_id, doc_id and score for many queries' ``matches`` (query_id, term, df, weight) at once."""
     docs = index.docs.select("doc_id", "file_name", "token_count")
-    # BM25 is the same for every query, so it is worked out before postings meet queries.
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "freq")
-    hits = wanted.join(docs, "doc_id").join(terms, "term").crossJoin(F.broadcast(index.stats.select("n", "avgdl")))
+    wanted = index.postings.join(matches.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "freq")
+    hits = wanted.join(docs, "doc_id").join(matches, "term").crossJoin(F.broadcast(index.stats.select("n", "avgdl")))
     one = bm25(F.col("freq"), F.col("df"), F.col("n"), F.col("token_count"), F.col("avgdl")) * F.col("weight") * filename_boost(F.col("file_name"), F.col("term"))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(one).alias("score"))
 
 
+def _asked(asked: DataFrame, key: str, text: str) -> DataFrame:
+    """Each query's terms and how often it has each."""
+    terms = asked.select(F.col(key).alias("query_id"), F.explode(T.tokenize(F.col(text))).alias("asked"))
+    return terms.groupBy("query_id", "asked").agg(F.count("*").alias("times"))
+
+
+def batch_keyword(index: Index, asked: DataFrame, key: str = "query_id", text: str = "raw_query") -> DataFrame:
+    """Keyword search of many queries at once.  Repeated terms weigh again."""
+    terms = _asked(asked, key, text)
+    return batch_scores(index, terms.join(index.vocab, terms.asked == index.vocab.term).select("query_id", "term", "df", F.col("times").alias("weight")))
+
+
+def batch_prefix(index: Index, asked: DataFrame, key: str = "query_id", text: str = "raw_query") -> DataFrame:
+    """Prefix search of many queries at once, as an equality: every beginning of each term of the vocabulary is a key."""
+    begun = index.vocab.select("term", "df", "term_len", F.explode(F.transform(F.sequence(F.lit(1), "term_len"), lambda n: F.substring("term", F.lit(1), n))).alias("asked"))
+    hits = _asked(asked, key, text).join(begun, "asked")
+    weight = F.sum(F.col("times") * F.length("asked") / F.col("term_len"))
+    return batch_scores(index, hits.groupBy("query_id", "term").agg(F.first("df").alias("df"), weight.alias("weight")))
+
+
+def batch_fuzzy(index: Index, asked: DataFrame, key: str = "query_id", text: str = "raw_query") -> DataFrame:
+    """Fuzzy search of many queries at once.
+
+    Within two edits, one of three equal parts of a term is in the other one unchanged, moved by two places at most;
+    length and such a part are the join's key, and the distance is worked out for what shares one.  Terms of under six
+    letters are keyed by length alone.
+    """
+    vocab = index.vocab.select("term", "df", "term_len")
+    ask = _asked(asked, key, text).withColumn("n", F.length("asked"))
+    each = ask.select("asked", "n").distinct().select("asked", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - 2), F.col("n") + 2)).alias("term_len"))
+    cuts = F.array(F.lit(0), F.floor(F.col("n") / 3), F.floor(2 * F.col("n") / 3), F.col("n")).cast("array<int>")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.substring("asked", F.get(cuts, k) + 1, F.get(cuts, k + 1) - F.get(cuts, k)))
+    own = each.select("asked", "n", "term_len", F.explode(F.when(F.col("n") < 6, F.array(F.lit(""))).otherwise(parts)).alias("part"))
+    sizes = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(6), F.col("term_len") - 2), F.col("term_len") + 2), lambda n: F.array(F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int") - F.floor(n / 3).cast("int"), n - F.floor(2 * n / 3).cast("int")))))
+    grams = F.flatten(F.transform(sizes, lambda m: F.when(m <= F.col("term_len"), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("term_len") - m + 1)), lambda i: F.substring("term", i, m))).otherwise(F.array().cast("array<string>"))))
+    theirs = vocab.select("term", "df", "term_len", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))).alias("part"))
+    near = own.join(theirs, ["term_len", "part"]).select("asked", "term", "df").distinct().withColumn("d", F.levenshtein("asked", "term", 2)).where("d >= 0")
+    weights = F.array(*map(F.lit, FUZZY_WEIGHTS))
+    hits = ask.join(near, "asked").groupBy("query_id", "term").agg(F.first("df").alias("df"), F.sum(F.col("times") * F.get(weights, F.col("d"))).alias("weight"))
+    return batch_scores(index, hits)
+
+
 def explain(index: Index, spec: QuerySpec) -> dict:
     """What a query does: its terms and mode, matches before and after filters, the best score, and the plan."""
     open_ = scores(index, spec.without_filters()).count()

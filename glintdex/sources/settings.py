@@ -57,6 +57,12 @@ def expand(path: str) -> str:
     return os.path.abspath(os.path.expanduser(path.strip()))
 
 
+def home_folders(home: str = "~", most: int = 8) -> list[str]:
+    """The first visible folders of the user's home, which a first run offers to index."""
+    home = expand(home)
+    return sorted(d.path for d in os.scandir(home) if d.is_dir() and not d.name.startswith("."))[:most]
+
+
 def load(home: str) -> Config:
     path = os.path.join(home, "config.json")
     if not os.path.exists(path):
