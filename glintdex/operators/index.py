@@ -25,8 +25,16 @@ class Index:
     postings: DataFrame
     vocab: DataFrame
     stats: DataFrame
-    #: (path or doc_id) to text, for snippets.
+    #: doc_id and text, for snippets.
     content: DataFrame | None = None
+    #: n and avgdl, where they are known without a query: from a stored index.
+    totals: tuple[int, float] | None = None
+
+    def with_totals(self, hits: DataFrame) -> DataFrame:
+        """``hits`` with n and avgdl, as constants or from the one row of ``stats``."""
+        if self.totals is None:
+            return hits.crossJoin(F.broadcast(self.stats.select("n", "avgdl")))
+        return hits.withColumns({"n": F.lit(self.totals[0]).cast("long"), "avgdl": F.lit(float(self.totals[1]))})
 
 
 def is_large(ext: Column, size: Column, max_text: int = MAX_TEXT, max_pdf: int = MAX_PDF) -> Column:

@@ -101,7 +101,7 @@ def score(index: Index, matches: DataFrame, filters: Filters | None = None, list
     postings = index.postings.select("term", "doc_id", "freq")
     if listed is not None and len(listed) <= LISTED:
         postings = postings.where(F.col("term").isin(listed))
-    hits = postings.join(matches, "term").join(docs, "doc_id").crossJoin(F.broadcast(index.stats.select("n", "avgdl")))
+    hits = index.with_totals(postings.join(matches, "term").join(docs, "doc_id"))
     one = bm25(F.col("freq"), F.col("df"), F.col("n"), F.col("token_count"), F.col("avgdl")) * F.col("weight") * filename_boost(F.col("file_name"), F.col("term"))
     return hits.groupBy("doc_id").agg(F.sum(one).alias("score"))
 
@@ -122,7 +122,7 @@ def phrase_scores(index: Index, terms: list[str], filters: Filters | None = None
     follow = F.exists(F.col("p0"), lambda x: _all(F.array_contains(F.col(f"p{slot[t]}"), x + i) for i, t in enumerate(terms) if i))
     df = index.vocab.where(F.col("term").isin(own)).agg(*(F.max(F.when(F.col("term") == t, F.col("df"))).alias(f"d{k}") for k, t in enumerate(own)))
     docs = apply_filters(index.docs, filters).select("doc_id", "token_count")
-    hits = near.where(follow).join(docs, "doc_id").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(index.stats.select("n", "avgdl")))
+    hits = index.with_totals(near.where(follow).join(docs, "doc_id").crossJoin(F.broadcast(df)))
     total = F.lit(0.0)
     for t in terms:
         k = slot[t]
@@ -188,7 +188,7 @@ def batch_scores(index: Index, matches: DataFrame) -> DataFrame:
     """query_id, doc_id and score for many queries' ``matches`` (query_id, term, df, weight) at once."""
     docs = index.docs.select("doc_id", "file_name", "token_count")
     wanted = index.postings.join(matches.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "freq")
-    hits = wanted.join(docs, "doc_id").join(matches, "term").crossJoin(F.broadcast(index.stats.select("n", "avgdl")))
+    hits = index.with_totals(wanted.join(docs, "doc_id").join(matches, "term"))
     one = bm25(F.col("freq"), F.col("df"), F.col("n"), F.col("token_count"), F.col("avgdl")) * F.col("weight") * filename_boost(F.col("file_name"), F.col("term"))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(one).alias("score"))
 

@@ -103,7 +103,8 @@ class Store:
         """Lazy: nothing is read but the manifest."""
         found = self.manifest()
         tables = {t: self.spark.read.schema(SCHEMAS[t]).parquet(f"{self.root}/{found['name']}/{t}") for t in found["tables"]}
-        return Index(tables["docs"], tables["postings"], tables["vocab"], tables["stats"], tables.get("content"))
+        totals = (found["n"], found["avgdl"]) if "n" in found else None
+        return Index(tables["docs"], tables["postings"], tables["vocab"], tables["stats"], tables.get("content"), totals)
 
     def save(self, index: Index) -> Index:
         """Postings and vocabulary are sorted by term, so that a term's lookup reads few row groups.
@@ -123,12 +124,12 @@ class Store:
         docs = put("docs", index.docs)
         postings = put("postings", index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
         put("vocab", vocab_of(postings).repartitionByRange("term").sortWithinPartitions("term"))
-        put("stats", stats_of(docs).coalesce(1))
+        totals = put("stats", stats_of(docs).coalesce(1)).first()
         tables = ["docs", "postings", "vocab", "stats"]
         if index.content is not None:
             put("content", index.content)
             tables.append("content")
-        self._write(f"{base}/manifest.json", json.dumps({"format": FORMAT, "tables": tables}))
+        self._write(f"{base}/manifest.json", json.dumps({"format": FORMAT, "tables": tables, "n": totals["n"], "avgdl": totals["avgdl"]}))
         old = self.manifest()["name"] if self.exists() and not self.is_corrupted() else None
         self._write(f"{self.root}/CURRENT.new", name)
         if self.exists():
