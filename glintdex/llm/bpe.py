@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,9 +84,7 @@ class PrefixCodec:
         self.splitter = Splitter(path)
         model = self.splitter.file["model"]
         vocab = model["vocab"]
-        self.tokens = [""] * (1 + max([*vocab.values(), *self.splitter.special.values()]))
-        for token, i in [*vocab.items(), *self.splitter.special.items()]:
-            self.tokens[i] = token
+        self.tokens = token_list(self.splitter.file)
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(model["merges"])}
         self.merged = [vocab[a + b] for a, b in model["merges"]]
         letters = byte_symbols()
@@ -187,8 +186,28 @@ class PrefixCodec:
         return list(itertools.chain.from_iterable(map(self.memo.__getitem__, self.splitter.split(text))))
 
     def decode(self, ids: list[int]) -> str:
-        """As the library without a decoder: tokens joined by a space."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return decode(self.tokens, ids)
+
+
+def decode(tokens: list[str], ids: list[int]) -> str:
+    """As the library without a decoder: tokens joined by a space."""
+    return " ".join(map(tokens.__getitem__, ids))
+
+
+def token_list(file: dict) -> list[str]:
+    """Token by id, special ones too."""
+    found = file["model"]["vocab"] | {x["content"]: x["id"] for x in file["added_tokens"]}
+    tokens = [""] * (1 + max(found.values()))
+    for token, i in found.items():
+        tokens[i] = token
+    return tokens
+
+
+@functools.lru_cache(2)
+def stored_tokens(path: str) -> list[str]:
+    """All that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        return token_list(json.load(f))
 
 
 @functools.lru_cache(2)
@@ -217,11 +236,11 @@ def decode_documents(encoded: DataFrame, vocab: str, key: str = "doc_id") -> Dat
     """``key``, ``ids`` and the decoded ``text`` of every row of ``encode_documents``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocab)
+        tokens = stored_tokens(vocab)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = [c.decode(x or []) for x in part.column(1).to_pylist()]
+                texts = [decode(tokens, x or []) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [key, "ids", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
