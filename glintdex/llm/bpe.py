@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintdex.llm.shared import kept_by_worker
 from glintdex.llm.words import Memo, Splitter, byte_symbols
 
 END = "</w>"
@@ -210,10 +211,9 @@ def stored_tokens(path: str) -> list[str]:
         return token_list(json.load(f))
 
 
-@functools.lru_cache(2)
 def codec(path: str) -> PrefixCodec:
     """One for each worker process and vocabulary."""
-    return PrefixCodec(path)
+    return kept_by_worker(("codec", path), lambda: PrefixCodec(path))
 
 
 def encode_documents(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text") -> DataFrame:

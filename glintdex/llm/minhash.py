@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintdex.llm.graph import components
-from glintdex.llm.shared import WORD, Scratch, is_small, narrow
+from glintdex.llm.shared import WORD, Scratch, is_small, kept_by_worker, narrow
 from glintdex.llm.words import Memo
 
 PERMUTATIONS, ROWS, BITS = 112, 4, 4
@@ -58,9 +58,8 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
-@functools.cache
 def _word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 200_000)
+    return kept_by_worker(("word hashes",), lambda: Memo(xxhash.xxh3_64_intdigest, 200_000))
 
 
 def shingles(text: str | None, span: int) -> np.ndarray:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -28,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base if re.match(r"[a-zA-Z][\w+.-]*:/", base) else "file://" + base
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept_by_worker(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: the last large object asked for, and no other."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class Scratch:
     """Written tables that cut lineage: they are in the shared folder, so a lost executor loses none of them.
 

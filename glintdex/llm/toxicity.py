@@ -16,7 +16,6 @@ text are read, so other columns can't clash.
 
 from __future__ import annotations
 
-import functools
 import io
 import re
 import zlib
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintdex.llm.shared import narrow
+from glintdex.llm.shared import kept_by_worker, narrow
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each kind that fit the network, at most.
@@ -336,10 +335,9 @@ class Scorer:
         return _sigmoid(self.net.curve[0] * top + self.net.curve[1])
 
 
-@functools.lru_cache(2)
 def scorer(model: bytes) -> Scorer:
     """One for each worker process and model."""
-    return Scorer(Net.load(model))
+    return kept_by_worker(("scorer", model), lambda: Scorer(Net.load(model)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> bytes:

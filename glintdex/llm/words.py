@@ -7,7 +7,6 @@ text goes through the library's own normaliser and splitter.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -16,6 +15,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from glintdex.llm.shared import kept_by_worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -123,7 +124,6 @@ class LibraryIds:
         return b"".join(map(self.memo.__getitem__, self.splitter.split(text)))
 
 
-@functools.lru_cache(2)
 def library_ids(path: str) -> LibraryIds:
     """One for each worker process and vocabulary."""
-    return LibraryIds(path)
+    return kept_by_worker(("library ids", path), lambda: LibraryIds(path))
