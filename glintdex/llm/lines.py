@@ -2,16 +2,17 @@
 
 Within a site (host), the share of its pages that contain a line tells boilerplate from content: lines in more than
 ``ratio`` of a site's pages, and in at least ``least`` of them, are dropped wherever they stand on that site.  A line
-counts once for a page; blank lines neither count nor go.
+counts once for a page, and equal texts on a site are one page, so copies of a document don't make its content
+boilerplate; blank lines neither count nor go.
 
-Lines travel as two 64-bit hashes with counts; texts don't, since they are cleaned where they are.  Counts are summed
-before and after the shuffle, so a line on every page of a third of the corpus is one row from each task.  A site has
+Lines travel as two 64-bit hashes, first with their page's to leave out copies, then with counts; texts don't, since
+they are cleaned where they are.  Copies are left out and counts summed before and after each shuffle, so a line on every page of a third of the corpus is one row from each task.  A site has
 at most (lines per page) / ``ratio`` boilerplate lines; the list of all of them is broadcast if it has at most
 ``small`` rows.  Beyond that, pages are joined with their site's list after each site's pages are dealt to ``deals``
 parts, with which the list, short for any site, is repeated.
 
 Defined results: a null text stays null and has no lines; a null host is a site of its own; the ends of lines are
-line feeds alone; repeated rows are pages of their own; texts are read whole; an empty table gives no rows; all other
+line feeds alone; repeated rows all stay, and count as one page; texts are read whole; an empty table gives no rows; all other
 columns stay as they are, whatever their names.
 """
 
@@ -34,10 +35,11 @@ def _hash(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """``host`` and ``line`` (a struct of two hashes) of every boilerplate line, with pages that have it and all pages."""
-    own = pages.select(F.col(host).alias("host"), F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n", -1), _has_word), _hash)).alias("lines"))
+    """``host`` and ``line`` (a struct of two hashes) of every boilerplate line, with distinct pages that have it and all distinct pages."""
+    hashes = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n", -1), _has_word), _hash))
+    own = pages.select(F.col(host).alias("host"), _hash(F.col(text)).alias("page"), hashes.alias("lines")).distinct()
     counted = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("with_line")).where(F.col("with_line") >= least)
-    totals = pages.groupBy(F.col(host).alias("site")).agg(F.count("*").alias("pages"))
+    totals = own.groupBy(F.col("host").alias("site")).agg(F.count("*").alias("pages"))
     return counted.join(totals, counted.host.eqNullSafe(totals.site)).where(F.col("with_line") > F.lit(ratio) * F.col("pages")).select("host", "line", "with_line", "pages")
 
 

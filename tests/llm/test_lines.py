@@ -28,6 +28,30 @@ def test_against_plain(spark, small):
     assert lines.by_source(docs.where("false")).count() == 0
 
 
+def test_copies_are_one_page(spark):
+    copy = "menu\nonly here\nand here"
+    rows = [(i, f"menu\nown {i}", "a", "x") for i in range(20)] + [(100 + i, copy, "a", "x") for i in range(10)]
+    rows += [(200 + i, copy, "b", "x") for i in range(10)] + [(300 + i, None, "b", "x") for i in range(10)]
+    docs = spark.createDataFrame(rows, KINDS)
+    got = {r["doc_id"]: r["text"] for r in lines.by_source(docs).collect()}
+    assert len(got) == len(rows)
+    assert {got[i] for i in range(100, 110)} == {"only here\nand here"}
+    assert {got[i] for i in range(200, 210)} == {copy}
+    assert [got[i] for i in range(20)] == [f"own {i}" for i in range(20)]
+    found = lines.boilerplate(docs, "source").collect()
+    assert [(r["host"], r["with_line"], r["pages"]) for r in found] == [("a", 21, 21)]
+
+
+def test_copies_survive_near_dedup(spark):
+    from glintdex.llm import minhash
+
+    copy = "\n".join(f"some longer line of content number {i} of this page" for i in range(9))
+    rows = [(i, "\n".join(f"page {i} says {j * i + j} and {i * 31 + j * 7} here" for j in range(9)), "a") for i in range(20)] + [(100 + i, copy, "a") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = minhash.keep_one(lines.by_source(docs))
+    assert [r["text"] for r in left.where("doc_id >= 100").collect()] == [copy]
+
+
 def test_oracle(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     docs = docs.withColumn("source", F.lit("one"))
