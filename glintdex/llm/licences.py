@@ -78,15 +78,22 @@ OTHER = "[^a-z0-9]+"
 
 
 def ids_of(text: Column) -> Column:
-    """The ids of a text's known sentences, in order; a sentence may also span the lines of one paragraph."""
+    """The ids of a text's known sentences, in order; a sentence may also span whole lines of one paragraph.
+
+    At each line, the sentence that is this line comes before the longest one that goes on over further lines.
+    """
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
+    spread = "|".join(s.replace(" ", r"[ \n]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    # One match for each line: the longest known sentence from its start to the end of a line, or nothing.
+    runs = F.lit(rf"(?:\A|\n)(?=({spread})(?=\n|\z)|)")
 
-    def cut(ends: str) -> Column:
-        plain = F.transform(F.split(F.coalesce(text, F.lit("")), ends, -1), lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
-        return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    def found(part: Column) -> Column:
+        each = lambda line, run: F.array(F.try_element_at(known, line), F.when((run != "") & (run != line), F.try_element_at(known, F.translate(run, "\n", " "))))
+        return F.flatten(F.zip_with(F.split(part, "\n", -1), F.regexp_extract_all(part, runs, F.lit(1)), each))
 
-    lines, paragraphs = cut(ENDS), cut(ENDS.removesuffix(r"|\n"))
-    return F.when(F.size(paragraphs) > F.size(lines), paragraphs).otherwise(lines)
+    parts = F.split(F.coalesce(text, F.lit("")), ENDS.removesuffix(r"|\n"), -1)
+    plain = F.transform(parts, lambda s: F.btrim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9\n]+", " "), r" *\n[ \n]*", "\n"), F.lit(" \n")))
+    return F.filter(F.flatten(F.transform(plain, found)), lambda i: i.isNotNull())
 
 
 def _holds(ids: Column, rule: tuple[str, ...]) -> Column:

@@ -38,6 +38,38 @@ def test_texts(spark):
     assert licences.scan(docs.where("false")).count() == 0
 
 
+APACHE = """Licensed under the Apache License,
+Version 2.0 (the "License");
+you may not use this file except in
+compliance with the License.
+
+Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_mixed_cuts(spark):
+    """Bare lines and wrapped sentences in one text: neither hides the other."""
+    bare = "Licensed under CC BY 4.0\nReleased under CC0 1.0\nAll rights reserved\n"
+    parts = ["apache-2.0/grant", "apache-2.0/comply", "apache-2.0/as-is"]
+    texts = [
+        f"Released under the MIT License\nother text\n\n{APACHE}",
+        f"Released under the MIT License\n{APACHE}",
+        f"{APACHE}\nReleased under the MIT License\nother text",
+        f"{bare}\n{MIT}",
+        f"{bare}{MIT}",
+        "Licensed under the Apache License, Version 2.0\n(the 'License')",
+        "a line\r\n# Released under\r\n# the MIT License\r\nmore",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentences"], r["licences"]) for r in licences.recognise(docs).collect()}
+    assert got[0] == got[1] == (["mit/notice", *parts], ["Apache-2.0", "MIT"])
+    assert got[2] == ([*parts, "mit/notice"], ["Apache-2.0", "MIT"])
+    assert got[3] == got[4] == (["cc-by-4.0/notice", "cc0-1.0/notice", "rights/all", "mit/grant", "mit/include", "mit/as-is"], ["MIT", "CC-BY-4.0", "CC0-1.0", "Proprietary"])
+    assert got[5] == (["apache-2.0/notice", "apache-2.0/grant"], ["Apache-2.0"])
+    assert got[6] == (["mit/notice"], ["MIT"])
+
+
 def test_oracle(spark, sf):
     sf = os.path.join(os.path.dirname(sf), "sf0.01")
     duck = duckdb.connect()
