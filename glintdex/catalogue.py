@@ -288,8 +288,7 @@ def levenshtein_pairs(spark, sf_dir):
 @query(f"{BASE} SELECT term, doc_id, round({_BM25}, 6) AS weight FROM postings JOIN vocab USING (term) JOIN docs USING (doc_id), stats WHERE df >= 5")
 def bm25_term_weights(spark, sf_dir):
     own = index(spark, sf_dir)
-    common = own.vocab.where("df >= 5").select("term", "df")
-    hits = own.postings.select("term", "doc_id", "freq").join(common, "term").join(own.docs.select("doc_id", "token_count"), "doc_id").crossJoin(F.broadcast(own.stats))
+    hits = own.postings.select("term", "doc_id", "freq").join(own.vocab.select("term", "df"), "term").join(own.docs.select("doc_id", "token_count"), "doc_id").crossJoin(F.broadcast(own.stats))
     return hits.select("term", "doc_id", F.round(S.bm25(F.col("freq"), F.col("df"), F.col("n"), F.col("token_count"), F.col("avgdl")), 6).alias("weight"))
 
 
