@@ -499,24 +499,35 @@ def scan_dir_docfs(spark, sf_dir):
 
 @query()
 def watch_microbatch(spark, sf_dir):
-    """A few documents as files, indexed, changed, and followed by one run of the stream."""
+    """The index of all documents and a file's, followed by one run of the stream over a changed and a new file.
+
+    The folder of files is in the shared one, which must be mounted, as ``docfs`` reads only such folders.
+    """
     import os
-    import tempfile
-
-    from glintdex.engine import Engine
-
-    home = tempfile.mkdtemp(prefix="glintdex-")
-    folder = os.path.join(home, "files")
-    os.mkdir(folder)
-    for r in corpus(spark, sf_dir).where("doc_id < 6 and extension != '.pdf'").select("file_name", "content").collect():
-        with open(os.path.join(folder, r["file_name"]), "w") as f:
-            f.write(r["content"])
-    engine = Engine(spark, home)
-    engine.add(folder)
-    with open(os.path.join(folder, "fresh.txt"), "w") as f:
-        f.write("brandnew words")
-    engine.watch(available_now=True).awaitTermination()
-    return engine.index().docs.select("file_name", "token_count")
+    from urllib.parse import urlparse
+
+    from glintdex.sources import docfs
+    from glintdex.sources.settings import Config
+    from glintdex.streaming.watch import watch
+
+    base = scratch_folder(spark)
+    if urlparse(base).scheme != "file":
+        raise ValueError(f"docfs reads mounted folders only, not {base}")
+    folder, config = os.path.join(urlparse(base).path, "files"), Config()
+    os.makedirs(folder)
+
+    def put(name: str, text: str) -> None:
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(text)
+
+    put("changed.txt", "first words")
+    files = docfs.corpus(docfs.listing(spark, folder), config.max_text_bytes, config.max_pdf_bytes)
+    store = Store(spark, f"{base}/index")
+    store.save(I.upsert(index(spark, sf_dir), files))
+    put("changed.txt", "some other longer words")
+    put("fresh.txt", "brandnew words")
+    watch(store, [folder], config, f"{base}/watch", available_now=True).awaitTermination()
+    return store.load().docs.select("file_name", "token_count")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
