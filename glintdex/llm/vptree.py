@@ -190,7 +190,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, factor: float = 1.0
     name = lambda n, salt: F.concat_ws(":", "width", F.pmod(F.xxhash64(F.lit(salt), "id"), n))
     trees = _grouped(dealt.select(name(F.col("shards"), 1).alias("shard"), "id", "vector"), "shard", "tree", lambda ids, rows: Tree.build(ids, rows).dump())
     trees = scratch.keep(trees, "trees")
-    blocks = _grouped(dealt.where("asks").select(name(F.col("blocks"), 2).alias("block"), "id", "vector"), "block", "block", _block)
+    # A repeated row asks once: its answers would share one ranking.
+    asked = dealt.where("asks").select(name(F.col("blocks"), 2).alias("block"), "id", "vector").distinct()
+    blocks = _grouped(asked, "block", "block", _block)
     sent = blocks.withColumn("width", F.split("block", ":")[0].cast("int")).join(sizes, "width")
     sent = sent.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.concat_ws(":", F.col("width"), s))).alias("shard"), F.lit(1).alias("kind"), "body")
 

@@ -52,3 +52,9 @@ def test_shards(spark, data, monkeypatch):
     assert got == {q: [(v, pytest.approx(s)) for v, s in r] for q, r in want.items()}
     assert vptree.every_hundredth(table.where("false")).count() == 0
     assert vptree.nearest(table, F.col("vec_id") == 1, 3).count() == 3
+
+
+def test_repeated_query_row_asks_once(spark):
+    rows = [(100, [0.0, 1.0])] * 3 + [(i, [float(i), 1.0]) for i in range(1, 16)]
+    got = vptree.every_hundredth(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(100, i, i, float(i)) for i in range(1, 11)]
