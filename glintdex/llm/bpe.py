@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintdex.llm.shared import kept_by_worker
-from glintdex.llm.words import Memo, Splitter, byte_symbols
+from glintdex.llm.shared import kept_by_worker, slices
+from glintdex.llm.words import Splitter, WordIds, byte_symbols
 
 END = "</w>"
 NEVER = 1 << 60
@@ -78,9 +79,52 @@ class SuffixAutomaton:
         return new
 
 
+class Steps:
+    """An automaton's moves as a hash table in arrays: from many states at once, by a symbol each."""
+
+    def __init__(self, automaton: SuffixAutomaton, place: dict[int, int]):
+        found = [(v << 9 | place[s], to) for v, step in enumerate(automaton.next) for s, to in step.items()]
+        keys, to = (np.array(c, np.int64) for c in zip(*found, strict=True))
+        self.bits = int(len(keys) * 3).bit_length()
+        self.key, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        self.tries = 0
+        while len(left):
+            free = left[self.key[at[left]] < 0]
+            self.key[at[free]] = keys[free]  # of several for one slot the last stays
+            left = left[self.key[at[left]] != keys[left]]
+            done = self.key[at] == keys
+            self.to[at[done]] = to[done]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            self.tries += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> (63 - self.bits)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The state after each move, -1 where there is none."""
+        key = state << 9 | symbol
+        at = self._slot(key)
+        out = np.where(self.key[at] == key, self.to[at], -1)
+        left = np.flatnonzero((out < 0) & (self.key[at] >= 0))
+        for _ in range(self.tries - 1):
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            hit = self.key[at[left]] == key[left]
+            out[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (self.key[at[left]] >= 0)]
+        return out
+
+
 class PrefixCodec:
     """Encodes and decodes as the vocabulary file at ``path`` says."""
 
+    #: Words of more bytes are encoded one by one, others side by side.
+    LONG = 64
+    #: Remembered answers of ``compatible``, as a power of two.
+    FITS = 20
+
     def __init__(self, path: str):
         self.splitter = Splitter(path)
         model = self.splitter.file["model"]
@@ -96,7 +140,15 @@ class PrefixCodec:
         # A token that its own symbols never merge into can't end any prefix.
         self.automaton = SuffixAutomaton({s: i for i, s in self.symbols.items() if self._made(i) is not None})
         self.fits: dict[int, bool] = {}
-        self.memo = Memo(self._encode)
+        sam = self.automaton
+        # Symbol k is byte k inside a word, 256 + k the same at its end.
+        self.steps = Steps(sam, {s: k for k, s in enumerate([*self.inner, *self.final])})
+        self.link, self.length, self.token, self.up = (np.array(x, np.int64) for x in (sam.link, sam.length, sam.token, sam.up))
+        self.size = np.zeros(len(self.tokens), np.int64)
+        for i, own in self.symbols.items():
+            self.size[i] = len(own)
+        self.fit_key, self.fit = np.full(1 << self.FITS, -1, np.int64), np.zeros(1 << self.FITS, bool)
+        self.words = WordIds(self.splitter, self.encode_words)
 
     @staticmethod
     def _symbols(token: str, vocab: dict[str, int]) -> tuple[int, ...]:
@@ -180,11 +232,98 @@ class PrefixCodec:
             i -= len(self.symbols[last[i]])
         return out[::-1]
 
-    def encode(self, text: str | None) -> list[int]:
-        self.memo.tidy()
+    def _fitting(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``compatible`` for many pairs.  Each pair has one slot of a table; another pair there gives way."""
+        pair = before << 20 | token
+        at = (pair * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> (63 - self.FITS)
+        out, new = self.fit[at], np.flatnonzero(self.fit_key[at] != pair)
+        if len(new):
+            own, which = np.unique(pair[new], return_inverse=True)
+            fits = np.array([self.compatible(p >> 20, p & 0xFFFFF) for p in own.tolist()], bool)
+            out[new] = fits[which]
+            self.fit_key[at[new]] = pair[new]
+            self.fit[at[new]] = self._of_last(at[new], out[new])
+        return out
+
+    @staticmethod
+    def _of_last(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each slot the value of the pair that was written there last."""
+        _, first = np.unique(at[::-1], return_index=True)
+        slots = at[::-1][first]
+        return values[::-1][first][np.searchsorted(slots, at)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids.  All words go on by one symbol at a time, the longest ones first in the arrays."""
+        raw = [w.encode("utf-8") for w in words]
+        out: list[bytes] = [b""] * len(words)
+        short = []
+        for k, (w, r) in enumerate(zip(words, raw, strict=True)):
+            if w in self.splitter.special or len(r) > self.LONG:
+                out[k] = np.array(self._encode(w), "<u4").tobytes()
+            else:
+                short.append(k)
+        short.sort(key=lambda k: -len(raw[k]))
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            for k, ids in zip(part, self._side_by_side([raw[k] for k in part]), strict=True):
+                out[k] = ids
+        return out
+
+    def _side_by_side(self, raw: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(r) for r in raw])
+        ends = np.cumsum(sizes)
+        start = ends - sizes
+        symbol = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        symbol[ends - 1] += 256
+        last = np.zeros(len(symbol), np.int64)
+        state, matched = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        for i in range(int(sizes[0])):
+            n = int(np.searchsorted(-sizes, -i, "left"))  # words that go on
+            at = start[:n] + i
+            s, own, held = symbol[at], state[:n], matched[:n]
+            to = self.steps(own, s)
+            stuck = np.flatnonzero((to < 0) & (own > 0))
+            while len(stuck):
+                own[stuck] = self.link[own[stuck]]
+                held[stuck] = self.length[own[stuck]]
+                to[stuck] = self.steps(own[stuck], s[stuck])
+                stuck = stuck[(to[stuck] < 0) & (own[stuck] > 0)]
+            moved = to >= 0
+            own[:] = np.where(moved, to, 0)
+            held[:] = np.where(moved, held + 1, 0)
+            # The state may also hold strings longer than what matched; then its token is one of those.
+            v = np.where((self.token[own] >= 0) & (self.length[own] <= held), own, self.up[own])
+            open_ = np.flatnonzero(v > 0)
+            while len(open_):
+                token, before = self.token[v[open_]], i - self.length[v[open_]]
+                fit = before < 0
+                inner = np.flatnonzero(~fit)
+                fit[inner] = self._fitting(last[start[open_[inner]] + before[inner]], token[inner])
+                last[at[open_[fit]]] = token[fit]
+                open_ = open_[~fit]
+                v[open_] = self.up[v[open_]]
+                open_ = open_[v[open_] > 0]
+        # Back-pointers, from all ends at once; ids are marked where they end.
+        used = np.zeros(len(symbol), bool)
+        at = ends - 1
+        here = np.arange(len(raw))
+        while len(here):
+            used[at] = True
+            at = at - self.size[last[at]]
+            on = at >= start[here]
+            at, here = at[on], here[on]
+        ids = last[used].astype("<u4").tobytes()
+        cuts = [0, *(4 * np.cumsum(used)[ends - 1]).tolist()]
+        return [ids[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each whole text's ids."""
         if len(self.fits) > 500_000:
             self.fits.clear()
-        return list(itertools.chain.from_iterable(map(self.memo.__getitem__, self.splitter.split(text))))
+        return [np.frombuffer(x, "<u4") for x in self.words.encode_all(texts)]
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return decode(self.tokens, ids)
@@ -216,20 +355,29 @@ def codec(path: str) -> PrefixCodec:
     return kept_by_worker(("codec", path), lambda: PrefixCodec(path))
 
 
-def encode_documents(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids`` (array of int) of every whole text."""
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))
+
+
+def encode_documents(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """``key`` and ``ids`` (array of int) of every whole text; with ``decoded`` also the ``text`` that the ids decode to.
+
+    That is ``decode_documents`` in the same pass over the data, from the ids alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [np.array(c.encode(x), np.int32) for x in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], [key, "ids"])
+            for part in slices(batch, 1):
+                ids = c.encode_all(part.column(1).to_pylist())
+                columns = [part.column(0), _lists(ids)]
+                if decoded:
+                    columns.append(pa.array([decode(c.tokens, x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [key, "ids", "text"][: len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, vocab: str, key: str = "doc_id") -> DataFrame:
@@ -240,8 +388,10 @@ def decode_documents(encoded: DataFrame, vocab: str, key: str = "doc_id") -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = [decode(tokens, x or []) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [key, "ids", "text"])
+                ids, flat = part.column(1), part.column(1).flatten().to_numpy().tolist()
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
+                texts = [decode(tokens, flat[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], [key, "ids", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids array<int>, text string")
@@ -249,7 +399,7 @@ def decode_documents(encoded: DataFrame, vocab: str, key: str = "doc_id") -> Dat
 
 def digests(docs: DataFrame, vocab: str) -> DataFrame:
     """The round trip of every document: number of ids, SHA-256 of the ids and of the decoded text."""
-    trip = decode_documents(encode_documents(docs, vocab), vocab)
+    trip = encode_documents(docs, vocab, decoded=True)
     return trip.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

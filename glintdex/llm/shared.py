@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,17 @@ class Scratch:
                 self._fs(path).delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``rows`` rows whose texts, in column ``text``, have about ``size`` bytes; a longer text is a part."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` doesn't have in any spelling."""
     taken = {c.lower() for c in df.columns}

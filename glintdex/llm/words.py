@@ -104,13 +104,36 @@ class Memo(dict):
             self.clear()
 
 
+class WordIds:
+    """Ids of whole texts, word by word; the new words of many texts are encoded together, and words are remembered.
+
+    ``many`` gives each word's ids as little-endian unsigned 32-bit numbers.
+    """
+
+    def __init__(self, splitter: Splitter, many: Callable[[list[str]], list[bytes]], most: int = 200_000):
+        self.splitter, self.many, self.most = splitter, many, most
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.recent) > self.most:
+            self.older, self.recent = self.recent, {}
+        cut = [self.splitter.split(x) for x in texts]
+        new = set().union(*cut).difference(self.recent)
+        known = new & self.older.keys()
+        self.recent.update((w, self.older[w]) for w in known)
+        new = sorted(new - known, key=len)
+        self.recent.update(zip(new, self.many(new), strict=True))
+        return [b"".join(map(self.recent.__getitem__, words)) for words in cut]
+
+
 class LibraryIds:
     """Ids of whole texts by the tokenizers library, which encodes each word once while it is remembered."""
 
     def __init__(self, path: str):
         self.splitter = Splitter(path)
         self.letters = byte_symbols()
-        self.memo = Memo(self._encode)
+        self.memo = Memo(self._encode, 300_000)
 
     def _encode(self, word: str) -> bytes:
         if word in self.splitter.special:
