@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintdex.functions import text as T
+from glintdex.sources.scratch import written
 
 DOC_COLUMNS = ["doc_id", "path", "file_name", "extension", "size_bytes", "last_modified", "indexed_at", "token_count"]
 MAX_TEXT, MAX_PDF = 15 << 20, 5 << 20
@@ -51,16 +52,20 @@ def with_tokens(corpus: DataFrame, max_text: int = MAX_TEXT, max_pdf: int = MAX_
 
 
 def assign_ids(corpus: DataFrame, start: int = 1, key: str = "path") -> DataFrame:
-    """``doc_id`` by the order of ``key`` from ``start``, without bringing rows together.
+    """``doc_id`` by the order of ``key`` from ``start``, each id once, without bringing rows together.
 
-    The corpus should be a stored table: it is read twice, and range bounds come of a sample of it.
+    Rows are sorted by ranges of the key, numbered within their range and written once, to the shared folder: ranges
+    and numbers are only settled when they are worked out, so all that follows reads what was written.
     """
-    placed = corpus.repartitionByRange(key).withColumn("part__", F.spark_partition_id())
-    placed = placed.withColumn("nth__", F.row_number().over(Window.partitionBy("part__").orderBy(key)))
-    # A row for each partition.
+    spark = corpus.sparkSession
+    # The upper bits are the range, the lower 33 the row's number in it.
+    placed = corpus.repartitionByRange(key).sortWithinPartitions(key).withColumn("at__", F.monotonically_increasing_id())
+    placed = written(spark, placed, "ids").withColumn("part__", F.shiftright("at__", 33))
+    # A row for each range.
     counts = placed.groupBy("part__").agg(F.count("*").alias("rows__"))
-    before = counts.withColumn("before__", F.coalesce(F.sum("rows__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(F.broadcast(before.drop("rows__")), "part__").withColumn("doc_id", F.col("before__") + F.col("nth__") + F.lit(start - 1)).drop("part__", "nth__", "before__")
+    before = counts.select("part__", F.coalesce(F.sum("rows__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
+    nth = F.col("at__").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "part__").withColumn("doc_id", F.col("before__") + nth + F.lit(start)).drop("part__", "at__", "before__")
 
 
 def postings_of(tokenized: DataFrame) -> DataFrame:
