@@ -92,6 +92,20 @@ def regex_terms(index: Index, pattern: str) -> DataFrame:
     return index.vocab.where(F.col("term").rlike(rf"(?i)\A(?:{pattern})\z")).select("term", "df", F.lit(1.0).alias("weight"))
 
 
+def settled(index: Index, matches: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """Matched terms of a stored index as constants with their list, if there are at most ``LISTED``; else as they were.
+
+    The first job reads the vocabulary alone; the second one then prunes the postings by these terms.
+    """
+    if index.totals is None:
+        return matches, None
+    few = matches.select("term", "df", "weight").limit(LISTED + 1).collect()
+    if len(few) > LISTED:
+        return matches, None
+    rows = [(r["term"], r["df"], float(r["weight"])) for r in few]
+    return matches.sparkSession.createDataFrame(rows, "term string, df long, weight double"), [r[0] for r in rows]
+
+
 def score(index: Index, matches: DataFrame, filters: Filters | None = None, listed: list[str] | None = None) -> DataFrame:
     """doc_id and score: the sum over matched terms of BM25 x weight x file-name boost.
 
@@ -155,13 +169,16 @@ def scores(index: Index, spec: QuerySpec) -> DataFrame:
     if not parsed.terms:
         return score(index, keyword_terms(index, []), spec.filters, [])
     if spec.mode == "regex":
-        return score(index, regex_terms(index, spec.raw), spec.filters)
+        matches, listed = settled(index, regex_terms(index, spec.raw))
+        return score(index, matches, spec.filters, listed)
     if spec.mode == "phrase":
         return phrase_scores(index, parsed.terms, spec.filters)
     if spec.mode == "fuzzy":
-        return score(index, fuzzy_terms(index, parsed.terms), spec.filters)
+        matches, listed = settled(index, fuzzy_terms(index, parsed.terms))
+        return score(index, matches, spec.filters, listed)
     if spec.mode == "prefix":
-        return score(index, prefix_terms(index, parsed.terms), spec.filters)
+        matches, listed = settled(index, prefix_terms(index, parsed.terms))
+        return score(index, matches, spec.filters, listed)
     return score(index, keyword_terms(index, parsed.terms), spec.filters, parsed.terms)
 
 
@@ -237,10 +254,11 @@ def batch_fuzzy(index: Index, asked: DataFrame, key: str = "query_id", text: str
 
 def explain(index: Index, spec: QuerySpec) -> dict:
     """What a query does: its terms and mode, matches before and after filters, the best score, and the plan."""
-    open_ = scores(index, spec.without_filters()).count()
-    found = scores(index, spec).agg(F.count("*").alias("n"), F.max("score").alias("best")).first()
+    every = scores(index, spec.without_filters())
+    stays = apply_filters(index.docs, spec.filters).select("doc_id", F.lit(True).alias("stays"))
+    found = every.join(stays, "doc_id", "left").agg(F.count("*").alias("all"), F.count_if("stays").alias("n"), F.max(F.when(F.col("stays"), F.col("score"))).alias("best")).first()
     plan = scores(index, spec)._jdf.queryExecution().toString()
-    return {"terms": spec.parsed().terms, "mode": spec.mode, "candidates": open_, "after_filters": found["n"], "top_score": found["best"], "plan": plan}
+    return {"terms": spec.parsed().terms, "mode": spec.mode, "candidates": found["all"], "after_filters": found["n"], "top_score": found["best"], "plan": plan}
 
 
 def plain(pattern: str) -> str:
