@@ -15,7 +15,8 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from glintdex import catalogue  # noqa: E402
 from glintdex.operators import index as I  # noqa: E402
-from glintdex.sources.storage import Store, scratch_folder  # noqa: E402
+from glintdex.sources.scratch import scratch_folder  # noqa: E402
+from glintdex.sources.storage import Store  # noqa: E402
 
 SEARCHES = [
     "search_keyword_single",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import pandas as pd
@@ -42,11 +43,39 @@ class ScanResult:
         return self.indexed + self.skipped + self.metadata_only
 
 
+class Watch:
+    """A running stream that holds the lock until it has ended."""
+
+    def __init__(self, query: StreamingQuery, held: ExitStack):
+        self.query, self._held = query, held
+
+    def __getattr__(self, name: str):
+        return getattr(self.query, name)
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:
+        try:
+            return self.query.awaitTermination(timeout) if timeout is not None else self.query.awaitTermination()
+        finally:
+            if not self.query.isActive:
+                self._held.close()
+
+    def stop(self) -> None:
+        try:
+            self.query.stop()
+        finally:
+            self._held.close()
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, home: str):
+    """``root``: the index's folder, on storage that driver and executors share; by default in ``home``, which only
+    serves where they are one machine."""
+
+    def __init__(self, spark: SparkSession, home: str, root: str | None = None):
         self.spark, self.home = spark, settings.expand(home)
         ship(spark)
-        self.store = Store(spark, f"file://{self.home}/index")
+        if root is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster the index needs a shared folder, as root")
+        self.store = Store(spark, root or f"file://{self.home}/index")
         self._lock = os.path.join(self.home, "index.lock")
 
     @property
@@ -157,15 +186,22 @@ class Engine:
     def clear_history(self) -> None:
         settings.clear_history(self.home)
 
-    def watch(self, checkpoint: str | None = None, **options) -> StreamingQuery:
-        """Follows the watched folders that exist."""
+    def location(self) -> dict:
+        """Where the index is, and its bytes on disk."""
+        return {"index": self.store.root, "bytes": self.store.size()}
+
+    def watch(self, checkpoint: str | None = None, **options) -> Watch:
+        """Follows the watched folders that exist.  The lock is held until the stream ends."""
         config = self.config
         paths = [p for p in config.watched if os.path.isdir(p)]
         if not paths:
             raise Missing("no folders to watch")
-        if not self.store.exists():
-            self.store.save(self._index_or_empty())
-        return W.watch(self.store, paths, config, checkpoint or f"file://{self.home}/watch", **options)
+        with ExitStack() as held:
+            held.enter_context(lock(self._lock))
+            if not self.store.exists():
+                self.store.save(self._index_or_empty())
+            query = W.watch(self.store, paths, config, checkpoint or f"{self.store.root}-watch", **options)
+            return Watch(query, held.pop_all())
 
     def reset(self) -> None:
         with lock(self._lock):

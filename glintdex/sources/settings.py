@@ -114,8 +114,19 @@ def clear_history(home: str) -> None:
         os.unlink(path)
 
 
+def recent(lines: DataFrame, limit: int = 20) -> DataFrame:
+    """The latest of ``lines`` (line, query, ...), those with the highest line, without blank queries."""
+    return lines.where(F.trim("query") != "").orderBy(F.desc("line")).limit(limit)
+
+
+def trimmed(lines: DataFrame) -> DataFrame:
+    """The lines that a history keeps."""
+    return lines.orderBy(F.desc("line")).limit(HISTORY)
+
+
 def history_table(spark: SparkSession, home: str) -> DataFrame:
-    """ts, query and line number."""
-    lines = [(i, *x.split("\t", 1)) for i, x in enumerate(reversed(history(home, HISTORY)), 1) if "\t" in x]
+    """line number (1 for the oldest), ts and query."""
+    own = history(home, HISTORY)
+    lines = [(len(own) - i, *x.split("\t", 1)) for i, x in enumerate(own) if "\t" in x]
     made = spark.createDataFrame(lines, "line int, at string, query string")
-    return made.select("line", F.to_timestamp("at", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "query")
+    return trimmed(made.select("line", F.to_timestamp("at", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "query"))

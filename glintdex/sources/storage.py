@@ -1,15 +1,17 @@
 """Index snapshots: versioned Parquet folders, a manifest each, and a pointer to the current one.
 
-A snapshot is written beside the old one and then pointed at, so readers see the one or the other.  Paths may be in any
-file system that Spark reaches; the pointer is replaced by a rename.  One writer at a time holds the lock file.
+A snapshot is written beside the old one and then pointed at, so readers see the one or the other.  Pointers are
+numbered, and the highest one counts; a new one appears by the rename of a finished file to a name that was not there,
+so at no time there is none.  Paths may be in any file system that Spark reaches.  One writer at a time holds the lock
+file.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import socket
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -42,7 +44,7 @@ class Missing(Exception):
 
 
 class Corrupted(Exception):
-    """The pointer or manifest can't be read, or its version is another."""
+    """The snapshot that the pointer names has no manifest, or none of this format; a failed read is an error of its own."""
 
 
 class Locked(Exception):
@@ -69,33 +71,56 @@ class Store:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def _pointers(self) -> list[int]:
+        """The numbers of all pointers, in order."""
+        if not self._fs().exists(self._path(self.root)):
+            return []
+        names = (status.getPath().getName() for status in self._fs().listStatus(self._path(self.root)))
+        return sorted(int(m[1]) for name in names if (m := re.fullmatch(r"CURRENT-(\d+)", name)))
+
     def exists(self) -> bool:
-        return self._fs().exists(self._path(f"{self.root}/CURRENT"))
+        return bool(self._pointers())
 
     def manifest(self) -> dict:
-        if not self.exists():
+        numbers = self._pointers()
+        if not numbers:
             raise Missing(self.root)
+        name = self._read(f"{self.root}/CURRENT-{numbers[-1]}").strip()
+        path = f"{self.root}/{name}/manifest.json"
+        if not name or not self._fs().exists(self._path(path)):
+            raise Corrupted(f"no manifest of {name}")
         try:
-            name = self._read(f"{self.root}/CURRENT").strip()
-            found = json.loads(self._read(f"{self.root}/{name}/manifest.json"))
-        except Exception as e:
+            found = json.loads(self._read(path))
+        except ValueError as e:
             raise Corrupted(str(e)) from e
-        if found.get("format") != FORMAT or set(found.get("tables", [])) - set(SCHEMAS):
-            raise Corrupted(f"format {found.get('format')}")
+        if not isinstance(found, dict) or found.get("format") != FORMAT or set(found.get("tables", [])) - set(SCHEMAS):
+            raise Corrupted(f"another format than {FORMAT}")
         return found | {"name": name}
 
     def is_corrupted(self) -> bool:
-        """False if there is none; reads the manifest and every table's first footer."""
+        """False if there is none; reads the manifest and every table's first footer.  Errors of the file system are raised."""
         try:
             found = self.manifest()
-            for t in found["tables"]:
-                self.spark.read.schema(SCHEMAS[t]).parquet(f"{self.root}/{found['name']}/{t}").isEmpty()
         except Missing:
             return False
-        except Exception:
+        except Corrupted:
             return True
+        for t in found["tables"]:
+            path = f"{self.root}/{found['name']}/{t}"
+            if not self._fs().exists(self._path(path)):
+                return True
+            try:
+                self.spark.read.schema(SCHEMAS[t]).parquet(path).isEmpty()
+            except Exception as e:
+                if any(x in str(e) for x in ("CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "FAILED_READ_FILE.PARQUET", "CORRUPT")):
+                    return True
+                raise
         return False
 
+    def size(self) -> int:
+        """Bytes on disk of the current snapshot."""
+        return self._fs().getContentSummary(self._path(f"{self.root}/{self.manifest()['name']}")).getLength()
+
     def delete(self) -> None:
         self._fs().delete(self._path(self.root), True)
 
@@ -130,17 +155,22 @@ class Store:
             put("content", index.content)
             tables.append("content")
         self._write(f"{base}/manifest.json", json.dumps({"format": FORMAT, "tables": tables, "n": totals["n"], "avgdl": totals["avgdl"]}))
-        old = self.manifest()["name"] if self.exists() and not self.is_corrupted() else None
-        self._write(f"{self.root}/CURRENT.new", name)
-        if self.exists():
-            self._fs().delete(self._path(f"{self.root}/CURRENT"), False)
-        self._fs().rename(self._path(f"{self.root}/CURRENT.new"), self._path(f"{self.root}/CURRENT"))
-        if old:
-            self._retire(keep={old, name})
+        try:
+            old = self.manifest()["name"]
+        except (Missing, Corrupted):
+            old = None
+        number = (self._pointers() or [0])[-1] + 1
+        self._write(f"{self.root}/next-{name}", name)
+        if not self._fs().rename(self._path(f"{self.root}/next-{name}"), self._path(f"{self.root}/CURRENT-{number}")):
+            raise Locked(f"another writer made snapshot {number}")
+        self._retire(number, keep={old, name})
         return self.load()
 
-    def _retire(self, keep: set[str]) -> None:
-        """Deletes snapshots but the current one and the one before it, which readers may still have open."""
+    def _retire(self, number: int, keep: set[str | None]) -> None:
+        """Deletes pointers before the last two, and snapshots but the two that readers may have open."""
+        for n in self._pointers():
+            if n < number - 1:
+                self._fs().delete(self._path(f"{self.root}/CURRENT-{n}"), False)
         for status in self._fs().listStatus(self._path(self.root)):
             name = status.getPath().getName()
             if name.startswith("v-") and name not in keep:
@@ -169,9 +199,3 @@ def lock(path: str):
         yield
     finally:
         os.unlink(path)
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="glintdex-")
-    return f"{base if ':/' in base else 'file://' + base}/glintdex-index-{uuid.uuid4().hex}"

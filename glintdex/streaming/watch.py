@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from glintdex.operators import index as I
 from glintdex.sources import docfs
+from glintdex.sources.scratch import written
 from glintdex.sources.settings import Config
 from glintdex.sources.storage import Store
 
@@ -26,7 +27,8 @@ def apply_events(store: Store, events: DataFrame, config: Config, on_event: Call
             return
         index = store.load()
         known = index.docs.join(events.select("path"), "path", "left_semi").select("doc_id")
-        files = docfs.corpus(events.where("op != 'delete'"), config.max_text_bytes, config.max_pdf_bytes)
+        # Files may change again while they are read, so one reading is written and serves for all that follows.
+        files = written(store.spark, docfs.corpus(events.where("op != 'delete'"), config.max_text_bytes, config.max_pdf_bytes), "files")
         start = (index.docs.agg(F.max("doc_id")).first()[0] or 0) + 1
         limits = {"max_text": config.max_text_bytes, "max_pdf": config.max_pdf_bytes}
         store.save(I.add(I.remove(index, known), I.assign_ids(files, start), **limits))
