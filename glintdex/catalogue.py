@@ -15,8 +15,10 @@ from glintdex.functions import text as T
 from glintdex.operators import index as I
 from glintdex.operators import search as S
 from glintdex.operators import statistics
-from glintdex.plans.spec import Filters, QuerySpec
-from glintdex.sources.storage import Store, scratch_folder
+from glintdex.plans.spec import Filters, QuerySpec, parse_since, parse_size
+from glintdex.sources import settings
+from glintdex.sources.scratch import scratch_folder
+from glintdex.sources.storage import Store
 
 NOW = 1_800_000_000_000
 KINDS = [".txt", ".md", ".java", ".json", ".xml", ".yml", ".properties", ".pdf"]
@@ -261,7 +263,14 @@ def snippet_keyword(spark, sf_dir):
     return made.where("snippet != ''")
 
 
-@query()
+_SNIPPETS = (BASE + _SNIP).replace(BASE, _scored(_bag(["worthless", "clown"])).removesuffix("SELECT * FROM found"))
+
+
+@query(
+    f"""{_SNIPPETS.replace("SELECT doc_id, concat(CASE", ", made AS (SELECT doc_id, concat(CASE", 1)}),
+ranked AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id FROM found)
+SELECT rank, doc_id, regexp_replace(coalesce(snippet, ''), '(worthless|clown)', '[\\1]', 'gi') AS snippet FROM ranked LEFT JOIN made USING (doc_id) WHERE rank <= 10"""
+)
 def snippet_highlighted(spark, sf_dir):
     return S.top(index(spark, sf_dir), QuerySpec("worthless clown"), before="[", after="]").select("rank", "doc_id", "snippet")
 
@@ -285,7 +294,7 @@ def levenshtein_pairs(spark, sf_dir):
     return spark.createDataFrame(pairs, "a string, b string").withColumn("distance", F.levenshtein("a", "b", 2))
 
 
-@query(f"{BASE} SELECT term, doc_id, round({_BM25}, 6) AS weight FROM postings JOIN vocab USING (term) JOIN docs USING (doc_id), stats WHERE df >= 5")
+@query(f"{BASE} SELECT term, doc_id, round({_BM25}, 6) AS weight FROM postings JOIN vocab USING (term) JOIN docs USING (doc_id), stats")
 def bm25_term_weights(spark, sf_dir):
     own = index(spark, sf_dir)
     hits = own.postings.select("term", "doc_id", "freq").join(own.vocab.select("term", "df"), "term").join(own.docs.select("doc_id", "token_count"), "doc_id").crossJoin(F.broadcast(own.stats))
@@ -471,15 +480,15 @@ def decode_fallback(spark, sf_dir):
 @query("WITH h AS (SELECT event_id AS line, event_type AS query FROM events WHERE trim(event_type) <> '') SELECT line, query FROM h ORDER BY line DESC LIMIT 20")
 def history_recent(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line"), F.col("event_type").alias("query"))
-    return lines.where(F.trim("query") != "").orderBy(F.desc("line")).limit(20)
+    return settings.recent(lines)
 
 
 @query("SELECT event_id AS line, event_type AS query FROM events QUALIFY row_number() OVER (ORDER BY event_id DESC) <= 500")
 def history_trim(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line"), F.col("event_type").alias("query")).orderBy(F.desc("line")).limit(500)
+    return settings.trimmed(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line"), F.col("event_type").alias("query")))
 
 
-@query(f"{BASE} SELECT term, doc_id, freq FROM postings WHERE term >= 'wo' AND term < 'wp'")
+@query(f"{BASE} SELECT term, doc_id, freq FROM postings")
 def snapshot_roundtrip(spark, sf_dir):
     """All postings, through a snapshot that is written and opened again."""
     store = Store(spark, scratch_folder(spark))
@@ -487,17 +496,58 @@ def snapshot_roundtrip(spark, sf_dir):
     return store.load().postings.select("term", "doc_id", "freq")
 
 
-@query()
+@query(f"WITH {CORPUS_SQL} SELECT file_name, CAST(strlen(coalesce(content, '')) AS BIGINT) AS size_bytes, extension IN ({', '.join(f"'{e}'" for e in T.EXTENSIONS)}) AS supported FROM corpus")
 def scan_dir_docfs(spark, sf_dir):
-    """Lists this package's own folder."""
+    """Writes each document as a file, in folders by language and source, and lists them.
+
+    The folder is in the shared one, which must be mounted, as ``docfs`` lists only such folders.
+    """
     import os
+    from urllib.parse import urlparse
 
     from glintdex.sources import docfs
 
-    return docfs.listing(spark, os.path.dirname(os.path.abspath(__file__))).select("file_name", "size_bytes", "supported")
+    folder = urlparse(scratch_folder(spark)).path
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                os.makedirs(os.path.dirname(folder + path), exist_ok=True)
+                with open(folder + path, "wb") as f:
+                    f.write((content or "").encode())
+            yield batch.select(["path"])
+
+    corpus(spark, sf_dir).select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return docfs.listing(spark, folder).select("file_name", "size_bytes", "supported")
+
+
+SIZES = ["10KB", "2mb", "1GB", "512", "x", "1.5MB"]
+SINCE = ["7d", "12h", "0d", "x", "d"]
+MODES = [("a", True, True, True), ('"a b"', True, True, False), ('"a b"', False, False, True), ("a", True, True, False), ("a", False, True, False), ("a", False, False, False)]
+
+
+@query(f"SELECT raw, CASE WHEN regexp_full_match(upper(raw), '\\d+(GB|MB|KB)?') THEN CAST(regexp_extract(raw, '^\\d+') AS BIGINT) * CASE right(upper(raw), 2) WHEN 'GB' THEN 1073741824 WHEN 'MB' THEN 1048576 WHEN 'KB' THEN 1024 ELSE 1 END END AS bytes FROM (VALUES {', '.join(f"('{x}')" for x in SIZES)}) v(raw)")
+def parsed_sizes(spark, sf_dir):
+    return spark.createDataFrame([(x, parse_size(x)) for x in SIZES], "raw string, bytes long")
+
+
+@query(f"SELECT raw, CASE WHEN regexp_full_match(raw, '\\d+[dh]') THEN {NOW} - CAST(regexp_extract(raw, '^\\d+') AS BIGINT) * CASE right(raw, 1) WHEN 'd' THEN 86400000 ELSE 3600000 END END AS since FROM (VALUES {', '.join(f"('{x}')" for x in SINCE)}) v(raw)")
+def parsed_durations(spark, sf_dir):
+    return spark.createDataFrame([(x, parse_since(x, NOW)) for x in SINCE], "raw string, since long")
+
+
+@query(f"SELECT i, CASE WHEN regex THEN 'regex' WHEN starts_with(raw, '\"') THEN 'phrase' WHEN fuzzy THEN 'fuzzy' WHEN prefix THEN 'prefix' ELSE 'keyword' END AS mode FROM (VALUES {', '.join(f"({i}, '{r}', {f}, {p}, {x})" for i, (r, f, p, x) in enumerate(MODES))}) v(i, raw, fuzzy, prefix, regex)")
+def query_modes(spark, sf_dir):
+    return spark.createDataFrame([(i, QuerySpec(r, f, p, x).mode) for i, (r, f, p, x) in enumerate(MODES)], "i int, mode string")
+
+
+@query(_scored(_bag(["worthless", "thtion"])).replace("SELECT * FROM found", "SELECT count(*) AS candidates, count(*) FILTER (extension = '.txt') AS after_filters, max(score) FILTER (extension = '.txt') AS top_score FROM found"))
+def candidate_counts(spark, sf_dir):
+    found = S.explain(index(spark, sf_dir), QuerySpec("worthless thtion", filters=Filters(".txt")))
+    return spark.createDataFrame([(found["candidates"], found["after_filters"], found["top_score"] and round(found["top_score"], 6))], "candidates long, after_filters long, top_score double")
 
 
-@query()
+@query(f"{BASE} SELECT file_name, token_count FROM docs UNION ALL VALUES ('changed.txt', 5), ('fresh.txt', 3)")
 def watch_microbatch(spark, sf_dir):
     """The index of all documents and a file's, followed by one run of the stream over a changed and a new file.
 

@@ -123,6 +123,84 @@ def test_lock(tmp_path):
     assert not os.path.exists(path)
 
 
+def test_ids_of_a_large_table(spark, tmp_path):
+    """Each row of a stored table gets an id of its own when the result is written, however partitions are coalesced."""
+    from pyspark.sql import functions as F
+
+    from glintdex.operators.index import assign_ids
+
+    n = 400_000
+    spark.range(n).select(F.concat(F.lit("/x/"), F.xxhash64("id").cast("string"), F.lit("/"), F.col("id").cast("string")).alias("path"), F.repeat(F.lit("text "), 5).alias("content")).write.parquet(f"{tmp_path}/paths")
+    stored = spark.read.parquet(f"{tmp_path}/paths")
+    try:
+        for coalesce in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            assign_ids(stored, 5).write.parquet(f"{tmp_path}/{coalesce}")
+            got = spark.read.parquet(f"{tmp_path}/{coalesce}")
+            row = got.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+            assert (row["n"], row["ids"], row["low"], row["high"]) == (n, n, 5, n + 4)
+            assert got.join(stored, "path", "left_anti").isEmpty()
+            ordered = got.orderBy("path").select("doc_id").limit(1000).collect()
+            assert [r["doc_id"] for r in ordered] == list(range(5, 1005))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_read_errors_are_not_corruption(engine, tree, tmp_path, monkeypatch):
+    engine.add(str(tree))
+    store = engine.store
+
+    def broken(path):
+        raise OSError("the network is down")
+
+    monkeypatch.setattr(store, "_read", broken)
+    with pytest.raises(OSError, match="network"):
+        engine.index()
+    with pytest.raises(OSError, match="network"):
+        store.is_corrupted()
+    monkeypatch.undo()
+    assert engine.store.load().docs.count() == 6
+
+
+def test_pointers(engine, tree, tmp_path):
+    """A new pointer never leaves a moment without one; the last two snapshots stay."""
+    for k in range(4):
+        (tree / f"more{k}.txt").write_text("further words")
+        engine.add(str(tree))
+    names = os.listdir(tmp_path / "home" / "index")
+    assert sorted(n for n in names if n.startswith("CURRENT-")) == ["CURRENT-3", "CURRENT-4"]
+    assert sum(n.startswith("v-") for n in names) == 2
+    assert engine.location()["bytes"] > 0
+
+
+def test_watch_holds_the_lock(engine, tree):
+    engine.add(str(tree))
+    running = engine.watch()
+    try:
+        with pytest.raises(Locked):
+            engine.add(str(tree))
+        with pytest.raises(Locked):
+            engine.watch()
+    finally:
+        running.stop()
+    engine.add(str(tree))
+
+
+def test_setup_and_completion(spark, tmp_path, capsys):
+    (tmp_path / "user" / "notes").mkdir(parents=True)
+    (tmp_path / "user" / ".hidden").mkdir()
+    (tmp_path / "user" / "notes" / "a.txt").write_text("redis words")
+    home = ["--home", str(tmp_path / "h")]
+    assert cli.main([*home, "setup", "-y", "--quick", "--user-home", str(tmp_path / "user")], spark) == 0
+    config = settings.load(str(tmp_path / "h"))
+    assert config.watched == [str(tmp_path / "user" / "notes")]
+    assert config.max_text_bytes == settings.Config.quick().max_text_bytes
+    assert cli.main(["completion"]) == 0
+    assert "--min-size" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+
+
 def test_settings(tmp_path, spark):
     home = str(tmp_path)
     config = settings.load(home)
