@@ -6,17 +6,20 @@ band keys, and the low ``BITS`` bits of each are packed into a signature.  Class
 For a pair of candidates the share of equal low bits, corrected for chance collisions, estimates the similarity;
 pairs that it can't rule out are confirmed on full sets.
 
-In a band's bucket no pairs are listed.  First each member is compared with the bucket's smallest member, which joins
-most of a group of copies.  Only buckets whose members are still in several components are then looked at again: their
-members' sets meet in a task, block by block, and a union-find there skips pairs that are already joined; links leave
-it, never candidate pairs.
+In a band's bucket no pairs are listed.  Buckets lie in ranges of (bucket, id), so a large one spans tasks.  First each
+member is compared with the first of its ``CHUNK`` members in a row, and these firsts with the bucket's smallest, which
+joins most of a group of copies.  Only buckets whose members are still in several components are then looked at again:
+members outside the bucket's largest component meet those in it and one another in a task, block by block, and a
+union-find there skips pairs that are already joined; links leave it, never candidate pairs.
 
 Two sets at the limit of similarity share no band with a probability of (1 - 0.8**4)**28 = 4e-7, and their estimate
 is over five standard errors above ``FLOOR``.
 
 Defined results: null and empty texts, and texts without words, have an empty set, linked with nothing; a text with
 fewer words than a shingle is one shingle; texts are read whole; repeated rows are in one class, all of them kept if
-their id is the smallest; a null id is never linked and is kept; an empty table gives no rows.
+their id is the smallest; rows with one id and different texts are one document, linked by any of its texts; a null id
+is never linked, has a null component and is kept; an empty table gives no rows; only key and text are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -31,15 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintdex.llm.graph import components
-from glintdex.llm.shared import WORD, Scratch, is_small, kept_by_worker, narrow
+from glintdex.llm.shared import WORD, Scratch, fresh, is_small, kept_by_worker, narrow, slices
 from glintdex.llm.words import Memo
 
 PERMUTATIONS, ROWS, BITS = 112, 4, 4
 BANDS = PERMUTATIONS // ROWS
 #: Estimates under this rule a pair out: 0.8 less over five standard errors at that many permutations.
 FLOOR = 0.58
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members of a bucket that are compared with one of them at first.
+CHUNK = 4096
+#: Weight of a bucket's members that one task compares with as much of others: a row, or ``WEIGHT`` shingles, counts one.
+BLOCK, WEIGHT = 512, 2048
+#: Classes with more than this share of all rows, a thousandth, are joined by broadcast: there are fewer than that.
+HOT_SHARE = 1000
 #: Ids are broadcast up to so many (8 MB); beyond, the join shuffles.
 SMALL = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -133,8 +140,7 @@ def sketches(docs: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch, 1, 2000):
                 n, same, keys, signs = [], [], [], []
                 for text in part.column(1).to_pylist():
                     own = shingles(text, span)
@@ -149,16 +155,58 @@ def sketches(docs: DataFrame, span: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, span: int, few: bool) -> DataFrame:
-    """doc_id and the full set (binary) of the documents whose ids ``wanted`` (node) has, one row for each id."""
-    own = docs.join(F.broadcast(wanted) if few else wanted, docs.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id"])
+    """node, same and the full set (binary), once for each distinct set of the documents whose ids ``wanted`` (node) has."""
+    own = docs.join(F.broadcast(wanted) if few else wanted, docs.doc_id == wanted.node, "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x, span).tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["node", "own"])
+            for part in slices(batch, 1, 500):
+                raw = [shingles(x, span).tobytes() for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], ["node", "same", "own"])
 
-    return own.mapInArrow(run, "node long, own binary")
+    return own.mapInArrow(run, "node long, same binary, own binary").dropDuplicates(["node", "same"])
+
+
+def _chunks(places: DataFrame) -> DataFrame:
+    """The rows of ``places`` (bucket, node, weight) whose bucket has others, with the ``first`` of their chunk.
+
+    A task sees a range of (bucket, node) in order.  What may go on in the next one, its first and its last row, stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = before = None
+        count = first = 0
+        opening = True
+
+        def out(rows: np.ndarray, after: np.ndarray, closing: bool) -> pa.RecordBatch:
+            nonlocal before, count, first, opening
+            bucket, node = rows[0], rows[1]
+            at = np.arange(len(bucket))
+            new = np.append(before is None or bucket[0] != before, bucket[1:] != bucket[:-1])
+            begun = np.maximum.accumulate(np.where(new, at, -1))
+            nth = np.where(begun >= 0, at - begun, at + count)
+            lead = np.maximum.accumulate(np.where(nth % CHUNK == 0, at, -1))
+            firsts = np.where(lead >= 0, node[np.maximum(lead, 0)], first)
+            stays = ~new | (bucket == after)
+            stays[0] |= opening
+            stays[-1] |= closing
+            before, count, first, opening = bucket[-1], int(nth[-1]) + 1, int(firsts[-1]), False
+            return pa.RecordBatch.from_arrays([pa.array(c[stays]) for c in (*rows, firsts)], ["bucket", "node", "weight", "first"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if held is not None:
+                rows = np.concatenate([held, rows], axis=1)
+            if rows.shape[1] > 1:
+                yield out(rows[:, :-1], rows[0, 1:], False)
+            held = rows[:, -1:]
+        if held is not None:
+            yield out(held, held[0] + 1, True)
+
+    dealt = places.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(run, "bucket long, node long, weight long, first long")
 
 
 def _confirm(pairs: DataFrame) -> DataFrame:
@@ -235,6 +283,35 @@ def _join_blocks(rows: DataFrame) -> DataFrame:
     return dealt.select("bucket", "low", "high", "block", "node", "label", "sign", "own").mapInArrow(run, "a long, b long")
 
 
+def _repeated(full: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of each document whose id has several texts."""
+    several = full.groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low < high").select("doc_id")
+    own = full.select("doc_id", "same").join(several, "doc_id", "left_semi").distinct().join(heads.select("same", "node"), "same").select("doc_id", "node").distinct()
+    lowest = own.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return own.join(lowest, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+
+
+def _open_blocks(named: DataFrame) -> DataFrame:
+    """What is still to compare, of ``named`` (bucket, node, weight, label): bucket, low, high, block, node, label.
+
+    Members of a bucket's heaviest component lie in the first blocks, the others in blocks of their own; every pair of
+    blocks (low, high) is there but those within that component.
+    """
+    apart = named.groupBy("bucket").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).where("low_label < high_label").select("bucket")
+    # Where few buckets are open, no bucket's members come together in one task.
+    few = is_small(apart, SMALL)
+    rows = named.join(F.broadcast(apart) if few else apart, "bucket", "left_semi")
+    sums = rows.groupBy("bucket", "label").agg(F.sum("weight").alias("sum")).groupBy("bucket").agg(F.max(F.struct("sum", "label")).alias("top"), F.sum("sum").alias("all"))
+    blocks = lambda weight: F.ceil(weight / BLOCK).cast("int")
+    sums = sums.select("bucket", F.col("top.label").alias("heaviest"), blocks(F.col("top.sum")).alias("heavy"), blocks(F.col("all") - F.col("top.sum")).alias("light"))
+    rows = rows.join(F.broadcast(sums) if few else sums, "bucket")
+    inside, place = F.col("label") == F.col("heaviest"), F.xxhash64("node")
+    block = F.when(inside, F.pmod(place, F.col("heavy"))).otherwise(F.col("heavy") + F.pmod(place, F.col("light"))).cast("int")
+    others = F.sequence(F.when(inside, F.col("heavy")).otherwise(0), F.col("heavy") + F.col("light") - 1)
+    rows = rows.select("bucket", "node", "label", block.alias("block"), F.explode(others).alias("other"))
+    return rows.select("bucket", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
 def near_duplicates(docs: DataFrame, span: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row of ``docs``."""
     spark = docs.sparkSession
@@ -242,40 +319,43 @@ def near_duplicates(docs: DataFrame, span: int = 5) -> DataFrame:
     own = narrow(docs, doc_id="long", text="string")
     rows = scratch.keep(sketches(own, span), "sketches")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    heads = scratch.keep(full.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("sign").alias("sign")), "heads")
+    classes = full.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("sign").alias("sign"), F.first("n_shingles").alias("size"), F.count("*").alias("copies"))
+    heads = scratch.keep(classes, "heads")
 
-    # Buckets of two or more classes, and the smallest of each.
-    places = heads.select(F.explode("keys").alias("bucket"), "node")
-    firsts = places.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("members")).where("first < last")
-    shared = scratch.keep(places.join(firsts, "bucket").select("bucket", "node", "first", "members"), "shared")
-    few = is_small(shared.select("node").distinct(), SMALL)
+    weight = F.ceil(F.col("size") / WEIGHT).cast("long").alias("weight")
+    shared = scratch.keep(_chunks(heads.select(F.explode("keys").alias("bucket"), "node", weight)), "shared")
     wanted = scratch.keep(shared.select("node").distinct(), "wanted")
-    signs = scratch.keep(heads.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("node", "sign").dropDuplicates(["node"]), "signs")
+    few = is_small(wanted, SMALL)
+    signs = scratch.keep(heads.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("node", "same", "sign"), "signs")
     sets = scratch.keep(full_sets(own, wanted, span, few), "sets")
 
-    # Each member against its buckets' smallest.
-    pairs = shared.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b").join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a")
-    pairs = _possible(pairs)
-    pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
-    star = scratch.keep(_confirm(pairs), "star")
+    # Each member against its chunk's first, and these against their bucket's smallest.
+    firsts = shared.select("bucket", "first").distinct()
+    smallest = firsts.groupBy("bucket").agg(F.min("first").alias("a"), F.max("first").alias("last")).where("a < last").select("bucket", "a")
+    pairs = shared.select(F.col("first").alias("a"), F.col("node").alias("b")).union(firsts.join(smallest, "bucket").select("a", F.col("first").alias("b"))).where("a < b").distinct()
+    side = lambda df, name, value: df.select(F.col("node").alias(name), F.col("same").alias(f"same_{name}"), F.col(value).alias(f"{value}_{name}"))
+    pairs = _possible(pairs.join(side(signs, "b", "sign"), "b").join(side(signs, "a", "sign"), "a"))
+    pairs = pairs.join(side(sets, "b", "own"), "b").join(side(sets, "a", "own"), "a")
+    star = scratch.keep(_confirm(pairs).union(_repeated(full, heads)), "star")
     labels = components(star, scratch)
 
     # Buckets whose members are still apart.
-    named = shared.join(labels, "node", "left").select("bucket", "node", "members", F.coalesce("label", "node").alias("label"))
-    apart = named.groupBy("bucket").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).where("low_label < high_label").select("bucket")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_ = named.join(apart, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    open_ = open_.select("bucket", "node", "label", "block", others.alias("other")).select("bucket", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    open_ = open_.join(signs, "node").join(sets, "node")
+    named = scratch.keep(shared.join(labels, "node", "left").select("bucket", "node", "weight", F.coalesce("label", "node").alias("label")), "named")
+    open_ = _open_blocks(named).join(signs, "node").join(sets, ["node", "same"])
     late = scratch.keep(_join_blocks(open_), "late")
-    links = star.union(late)
-    labels = components(links, scratch, "all-labels")
-    scratch.drop("shared", "wanted", "signs", "sets", "labels-next")
+    labels = components(star.union(late), scratch, "all-labels")
+    scratch.drop("shared", "wanted", "signs", "sets", "named", "labels-next")
 
-    final = heads.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
-    return rows.join(final, "same", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    final = heads.join(labels, "node", "left").select("same", "copies", F.coalesce("label", "node").alias("component_id"))
+    most = max(1000, rows.count() // HOT_SHARE)
+    hot = final.where(F.col("copies") >= most).select("same", F.col("component_id").alias("hot_id"))
+    cold = final.where(F.col("copies") < most).select(F.col("same").alias("at"), F.col("component_id").alias("cold_id"))
+    known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    named_rows = rows.select("doc_id", "n_shingles", "same").join(F.broadcast(hot), "same", "left")
+    # Rows that need no other class's id go by their own.
+    named_rows = named_rows.withColumn("at", F.when(known & F.col("hot_id").isNull(), F.col("same")).otherwise(F.concat(F.lit("-"), F.col("doc_id").cast("string")).cast("binary")))
+    component = F.coalesce(F.when(known, F.coalesce("hot_id", "cold_id")), "doc_id")
+    return named_rows.join(cold, "at", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, span: int = 5) -> DataFrame:
@@ -285,8 +365,9 @@ def keep_one(docs: DataFrame, span: int = 5) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     judged = scratch.keep(near_duplicates(docs, span), "judged")
-    gone = judged.where("doc_id != component_id").select(F.col("doc_id").alias("gone__")).distinct()
-    at = F.col("doc_id").cast("long") == F.col("gone__")
+    (name,) = fresh(docs, "gone__")
+    gone = judged.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    at = F.col("doc_id").cast("long") == F.col(name)
     kept = docs.join(F.broadcast(gone) if is_small(gone, SMALL) else gone, at, "left_anti")
     again = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

@@ -13,7 +13,7 @@ def plain(rows, span):
         return frozenset(zip(*(words[k:] for k in range(span)), strict=False)) if len(words) >= span else frozenset([tuple(words)] if words else [])
 
     sets = [(i, shingles(t)) for i, t in rows]
-    root = {i: i for i, _ in sets}
+    root = {i: i for i, _ in sets}  # one node for an id, whatever its texts
 
     def find(x):
         while root[x] != x:
@@ -56,18 +56,40 @@ def test_against_brute_force(spark, span, seed):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in got}
 
 
-def test_blocks_of_a_bucket_meet(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+@pytest.mark.parametrize(("block", "chunk", "weight"), [(4, 4096, 2048), (512, 3, 2048), (3, 5, 10)])
+def test_blocks_and_chunks_of_a_bucket_meet(spark, monkeypatch, block, chunk, weight):
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("WEIGHT", weight)):
+        monkeypatch.setattr(minhash, name, value)
     rows = corpus(3)[:200]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in minhash.near_duplicates(docs, 4).collect()} == plain(rows, 4)
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(6)
+    long = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(50)) for _ in range(100)) for _ in range(4)]
+    close = [x.rsplit(" ", 2)[0] + " other end" for x in long]
+    rows = [(7, long[0]), (7, long[1]), (9, close[0]), (11, close[1]), (12, long[2]), (13, close[2]), (13, long[3]), (20, close[3]), (20, "nothing like it at all here"), (5, "x y z"), (5, "x y z")]
+    for order in range(3):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + order)
+        got = {tuple(r) for r in minhash.near_duplicates(docs, 4).collect()}
+        assert got == plain(rows, 4)
+    assert {r["doc_id"] for r in minhash.keep_one(docs, 4).collect()} == {5, 7, 12}
+
+
+def test_hot_class(spark, monkeypatch):
+    """A class with more copies than its share is joined apart, with the same result."""
+    rows = [(i, "one text that very many rows have in common") for i in range(10, 1300)] + [(1, "one text that very many rows have in common"), (2, "another")]
+    got = {tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == {(i, 6, 1) for i, _ in rows if i != 2} | {(2, 1, 2)}
+
+
 def test_nulls_repeats_and_nothing(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in minhash.digests(docs).collect()), key=str)
     assert [r for r in got if r[0] is not None] == [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False)]
-    assert all(r[3] for r in got if r[0] is None)
+    assert sorted(r[1:] for r in got if r[0] is None) == [(0, None, True), (3, None, True)]
     assert minhash.keep_one(docs).count() == 3
     assert minhash.digests(docs.where("false")).count() == 0
 
