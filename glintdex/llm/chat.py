@@ -2,7 +2,8 @@
 
 The machine says for each turn whether its role may follow the turns before it; the template says what stands around
 a turn's text and whether the text is in the loss mask.  Control strings of the template inside a text, and the escape
-character, get an escape in front, so that the formatted text reads back exactly.
+character, get an escape in front, so that the formatted text reads back exactly: the reader sees a conversation's text
+and which of it is under the mask, and finds turns by the template's marks alone.
 
 Turns are formatted in the order of the conversation while they stream by, one turn in memory at a time, so a long
 conversation costs time in one task but no memory; its digest over all turns in order can't be made in parts.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -49,12 +50,14 @@ class Template:
     escape: str = "\\"
     control: tuple[str, ...] = ("###", "</turn>")
     _marks: re.Pattern = field(init=False, repr=False, compare=False)
+    _role_marks: re.Pattern = field(init=False, repr=False, compare=False)
 
     def __post_init__(self):
         if any(c.startswith(self.escape) or not c for c in self.control):
             raise ValueError("a control string is not empty and doesn't start with the escape character")
         longest = sorted(self.control, key=len, reverse=True)
         object.__setattr__(self, "_marks", re.compile("|".join(map(re.escape, [self.escape, *longest]))))
+        object.__setattr__(self, "_role_marks", re.compile("|".join(map(re.escape, [self.escape, *longest, ":"]))))
 
     def hide(self, text: str) -> str:
         """``text`` with an escape before each escape and control string."""
@@ -64,6 +67,13 @@ class Template:
         """The reverse of ``hide``."""
         return re.sub(f"{re.escape(self.escape)}({self._marks.pattern})", lambda m: m[1], text)
 
+    def hide_role(self, role: str) -> str:
+        """The name of an unknown role, in which colons are hidden too, as one ends it."""
+        return self._role_marks.sub(lambda m: self.escape + m[0], role)
+
+    def show_role(self, role: str) -> str:
+        return re.sub(f"{re.escape(self.escape)}({self._role_marks.pattern})", lambda m: m[1], role)
+
 
 #: A system turn may come first; then user and assistant take turns, and the assistant has the last word.
 DEFAULT = Template(
@@ -98,7 +108,7 @@ def segments(template: Template, role: str | None, text: str | None) -> list[tup
     """What a turn becomes: (text, whether it is in the loss mask)."""
     turn, body = template.roles.get(role), template.hide(text or "")
     if turn is None:
-        return [(template.other.before + template.hide(role or "") + ":\n", False), (body, False), (template.other.after, False)]
+        return [(template.other.before + template.hide_role(role or "") + ":\n", False), (body, False), (template.other.after, False)]
     return [(turn.before, False), (body, turn.loss), (turn.after, False)]
 
 
@@ -133,56 +143,77 @@ def format_conversations(rows: DataFrame, template: Template = DEFAULT) -> DataF
 
 
 class Reader:
-    """Reads formatted text back, turn by turn; knows only the template and the loss mask."""
+    """Reads a conversation's formatted text back while it streams in, cut anywhere; knows only the template.
+
+    A turn begins with the mark of a role and ends with the first end mark of that role that isn't escaped.  What is
+    read is let go, so a turn is in memory at a time.
+    """
 
     def __init__(self, template: Template):
         self.template = template
-        self.heads = {t.before: role for role, t in template.roles.items()}
-
-    def read(self, pieces: Iterable[tuple[str, bool]]) -> tuple[str, str, str]:
-        """(role, text, text under the loss mask) of one formatted turn."""
-        pieces = list(pieces)
-        whole = "".join(x for x, _ in pieces)
-        head, role = next(((h, r) for h, r in self.heads.items() if whole.startswith(h)), (None, None))
+        self.text = ""
+        #: Parts of ``text`` under the loss mask, as (start, stop).
+        self.masked: list[tuple[int, int]] = []
+        self.heads = sorted(((t.before, role) for role, t in template.roles.items()), key=lambda h: -len(h[0]))
+        self.longest = max(map(len, [template.other.before, *(h for h, _ in self.heads)]))
+        hidden = f"{re.escape(template.escape)}(?:{template._marks.pattern})"
+        self.ends = {after: re.compile(f"{hidden}|({re.escape(after)})", re.S) for after in {template.other.after, *(t.after for t in template.roles.values())}}
+        self.colon = re.compile(f"{re.escape(template.escape)}(?:{template._role_marks.pattern})|(:\n)", re.S)
+
+    def _first(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        return next((m for m in pattern.finditer(self.text, at) if m[1] is not None), None)
+
+    def _turn(self) -> tuple[str, int, int, int] | None:
+        """(role, start and stop of the text, end) of the first turn, None until all of it is there."""
+        head, role = next(((h, r) for h, r in self.heads if self.text.startswith(h)), (None, None))
         if head is None:
-            end = whole.index(":\n", self._end_of_role(whole))
-            head, role = whole[: end + 2], self.template.show(whole[len(self.template.other.before) : end])
-            after = self.template.other.after
+            before = self.template.other.before
+            if not self.text.startswith(before):
+                if len(self.text) < self.longest and any(h.startswith(self.text) for h in [before, *(h for h, _ in self.heads)]):
+                    return None
+                raise ValueError("a turn without its start")
+            colon = self._first(self.colon, len(before))
+            if colon is None:
+                return None
+            role, start, after = self.template.show_role(self.text[len(before) : colon.start()]), colon.end(), self.template.other.after
         else:
-            after = self.template.roles[role].after
-        if not whole.endswith(after):
+            start, after = len(head), self.template.roles[role].after
+        end = self._first(self.ends[after], start)
+        return end and (role, start, end.start(), end.end())
+
+    def feed(self, text: str, loss: bool) -> Iterator[tuple[str, str, str]]:
+        """(role, text, text under the loss mask) of each turn that is now complete."""
+        if loss:
+            self.masked.append((len(self.text), len(self.text) + len(text)))
+        self.text += text
+        while self.text and (found := self._turn()):
+            role, start, stop, end = found
+            under = "".join(self.text[a : min(b, end)] for a, b in self.masked if a < end)
+            yield role, self.template.show(self.text[start:stop]), self.template.show(under)
+            self.masked = [(max(a, end) - end, b - end) for a, b in self.masked if b > end]
+            self.text = self.text[end:]
+
+    def close(self) -> None:
+        if self.text:
             raise ValueError("a turn without its end")
-        return role, self.template.show(whole[len(head) : len(whole) - len(after)]), self.template.show("".join(x for x, loss in pieces if loss))
-
-    def _end_of_role(self, whole: str) -> int:
-        if not whole.startswith(self.template.other.before):
-            raise ValueError("a turn without its start")
-        return len(self.template.other.before)
 
 
 def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """What a reader finds in ``format_conversations``' segments, one row for each conversation.
 
-    The segments must be as they left that function, in order within partitions.
+    The segments must be as they left that function, in order within partitions.  Of them it takes text and mask; where
+    turns begin and end it tells by their marks.  Text that doesn't read as turns is an error.
     """
     kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in kinds.split(", ")]
-        reader, state, turn = Reader(template), None, []
+        state = None
         done: list[tuple] = []
 
-        def end_turn():
-            role, text, masked = reader.read(turn)
-            state["turns"].update(f"{role}\n{text}\n".encode())
-            state["loss"].update(masked.encode())
-            state["n"] += 1
-            state["loss_chars"] += len(masked)
-            turn.clear()
-
         def end():
             if state is not None:
-                end_turn()
+                state["reader"].close()
                 done.append((state["conv"], state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["allowed"] and state["complete"]))
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -191,14 +222,15 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
-            for conv, position, text, loss, allowed, complete in zip(*(batch.column(batch.schema.names.index(x)).to_pylist() for x in ("conv_id", "position", "text", "loss", "allowed", "complete")), strict=True):
+            for conv, text, loss, allowed, complete in zip(*(batch.column(batch.schema.names.index(x)).to_pylist() for x in ("conv_id", "text", "loss", "allowed", "complete")), strict=True):
                 if state is None or conv != state["conv"]:
                     end()
-                    state = {"conv": conv, "position": position, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_chars": 0, "chars": 0, "allowed": True, "complete": False}
-                elif position != state["position"]:
-                    end_turn()
-                    state["position"] = position
-                turn.append((text, loss))
+                    state = {"conv": conv, "reader": Reader(template), "turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_chars": 0, "chars": 0, "allowed": True, "complete": False}
+                for role, own, masked in state["reader"].feed(text, loss):
+                    state["turns"].update(f"{role}\n{own}\n".encode())
+                    state["loss"].update(masked.encode())
+                    state["n"] += 1
+                    state["loss_chars"] += len(masked)
                 state["chars"] += len(text)
                 state["allowed"] &= allowed
                 state["complete"] = complete
