@@ -10,8 +10,10 @@ Training is by the window: of a text only its most suspicious window is learned
 and n-grams, then by the network itself), for toxic and clean texts alike.  It takes a bounded sample of labelled rows
 (``MOST`` of each kind, those with the least hash of their id) and runs in one task.
 
-Defined results: null and empty texts and texts without letters score 0; texts are read whole; repeated rows score alike; with no labelled rows of both kinds every score is 0; only id and
-text are read, so other columns can't clash.
+Defined results: null and empty texts and texts without letters score 0; texts are read whole, and long runs of letters
+in overlapping pieces, so no letter is left out; repeated rows score alike; of labelled rows that repeat an id the least
+text is learned from, and toxic if any label says so; with fewer than ten labelled rows of a kind every score is 0; only
+id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -27,22 +29,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintdex.llm.shared import kept_by_worker, narrow
+from glintdex.llm.shared import kept_by_worker, narrow, slices
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each kind that fit the network, at most.
 MOST = 1500
 WINDOW, STEP = 32, 16
 D, H = 8, 8
+#: A run of letters longer than ``PIECE`` is read as pieces, each ``STRIDE`` letters on; no piece has more n-grams than the limit.
+PIECE, STRIDE = 17, 12
 GRAMS, GRAM_LIMIT = 1 << 15, 24
 BATCH = 4096
 
 
+def words_of(text: str | None) -> list[str]:
+    """A whole text's words, in lower case; long runs of letters, as of scripts without blanks, in overlapping pieces."""
+    found = WORDS.findall(text.lower()) if text else []
+    if found and max(map(len, found)) > PIECE:
+        return [w[k : k + PIECE] for w in found for k in range(0, max(1, len(w) - (PIECE - STRIDE)), STRIDE)]
+    return found
+
+
 def grams(word: str) -> list[int]:
-    """Hashes of a word's prefixes, suffixes and trigrams; 0 is kept for none."""
+    """Hashes of a piece's prefixes, suffixes and trigrams; 0 is kept for none."""
     w = f"^{word}$"
     found = [w[:k] for k in range(3, min(9, len(w)))] + [w[-k:] for k in range(3, min(6, len(w)))] + [w[k : k + 3] + "_" for k in range(1, len(w) - 3)]
-    return [1 + zlib.crc32(g.encode()) % (GRAMS - 1) for g in found[:GRAM_LIMIT]]
+    return [1 + zlib.crc32(g.encode()) % (GRAMS - 1) for g in found]
 
 
 def windows(n: int) -> np.ndarray:
@@ -220,7 +232,7 @@ def _odds(texts: list[list[str]], toxic: np.ndarray, least: int = 4) -> tuple[di
 def train(texts: list[str], toxic: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Net:
     """Fits on four fifths of the rows; the rest sets the curve."""
     rng = np.random.default_rng(seed)
-    cut = [WORDS.findall(x.lower()) for x in texts]
+    cut = [words_of(x) for x in texts]
     fit = np.arange(len(cut)) % 5 != 0
     word_odds, gram_odds = _odds([w for w, ok in zip(cut, fit, strict=True) if ok], toxic[fit])
     net = Net({w: i + 1 for i, w in enumerate(sorted(word_odds))})
@@ -319,7 +331,7 @@ class Scorer:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if len(self.row) > self.most:
             self._reset()
-        cut = [WORDS.findall(x.lower()) if x else [] for x in texts]
+        cut = [words_of(x) for x in texts]
         new = list(set().union(*cut).difference(self.row)) if cut else []
         if new:
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
@@ -346,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> bytes:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     taken = known.where("toxic = 1").orderBy(*order).limit(most).union(known.where("toxic = 0").orderBy(*order).limit(most))
-    rows = narrow(docs, doc_id="long", text="string").join(F.broadcast(taken), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
+    rows = narrow(docs, doc_id="long", text="string").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted({r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[2]})
@@ -365,8 +377,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1, 500):
                 s = scorer(model).score(part.column(1).to_pylist()) if model else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.astype(np.float64))], ["doc_id", "score"])
 
@@ -380,8 +391,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, at_text, 500):
                 stay = scorer(model).score(part.column(at_text).to_pylist()) < threshold if model else np.ones(part.num_rows, bool)
                 yield part.filter(pa.array(stay))
 

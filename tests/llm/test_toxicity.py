@@ -95,3 +95,70 @@ def test_held_out_rows_are_not_learned_from(spark, rows):
     assert {r["doc_id"] for r in found if r["held_out"]} == {i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0}
     # Wrong labels of held-out rows did no harm.
     assert np.mean([r["predicted"] == right[r["doc_id"]] for r in found if r["held_out"]]) > 0.85
+
+
+def plain_score(net, text):
+    """A whole text's score by itself: window by window, word by word, both directions one after the other."""
+    words = toxicity.words_of(text)
+    if not words:
+        return 0.0
+    p, size, h = net.p, toxicity.WINDOW, toxicity.H
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def sent(word):
+        g = toxicity.grams(word)
+        chars = sum(p["gram"][k].astype(float) for k in g) / np.sqrt(len(g))
+        own = p["own"][net.words[word]] if word in net.words else np.zeros(toxicity.D)
+        return np.concatenate([own, chars]) @ p["win"] + p["bin"]
+
+    def run(xs, way):
+        state, out = np.zeros(h), []
+        for x in xs:
+            x = x[3 * h * way : 3 * h * (way + 1)]
+            gates = sigmoid(x[: 2 * h] + state @ p["rec"][way])
+            new = np.tanh(x[2 * h :] + gates[:h] * (state @ p["new"][way]))
+            state = state + (1 - gates[h:]) * (new - state)
+            out.append(state)
+        return out
+
+    best = -np.inf
+    for start in toxicity.windows(len(words)):
+        xs = [sent(w) for w in words[start : start + size]]
+        states = np.array([np.concatenate(s) for s in zip(run(xs, 0), run(xs[::-1], 1)[::-1], strict=True)])
+        e = np.exp(states @ p["att"] - (states @ p["att"]).max())
+        best = max(best, float((e / e.sum()) @ states @ p["out"] + p["bias"][0]))
+    return sigmoid(net.curve[0] * best + net.curve[1])
+
+
+def test_whole_texts_window_by_window(net):
+    long = "x" * 45
+    texts = [text(k % 2 == 0, n) for k, n in enumerate((1, 5, 31, 32, 33, 64, 100))] + [long, "scum" * 20, f"bel {long} tor", "中" * 60, None, "", "12 _"]
+    got = toxicity.Scorer(net).score(texts)
+    assert got == pytest.approx([plain_score(net, t) for t in texts], abs=2e-4)
+
+
+def test_no_letter_is_left_out():
+    for n in (1, 16, 17, 18, 29, 30, 45, 200):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        pieces = toxicity.words_of(word)
+        assert set("".join(pieces)) == set(word)
+        assert all(a[-5:] == b[:5] for a, b in zip(pieces, pieces[1:], strict=False))
+        assert all(len(toxicity.grams(p)) <= toxicity.GRAM_LIMIT for p in pieces)
+    changed = [toxicity.words_of("a" * k + "b" + "a" * (44 - k)) for k in range(45)]
+    inputs = [tuple(g for p in pieces for g in toxicity.grams(p)) for pieces in changed]
+    assert len(set(inputs)) == 45
+
+
+def test_odd_rows_with_a_real_model(spark, net):
+    rows = [(1, None, 0), (2, "", 0), (3, "4 5 6", 0), (4, "bel " * 100_000 + "scum vile foul rotten", 0), (4, "bel tor", 0), (4, "bel tor", 0), (None, "scum vile foul", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    model = net.dump()
+    by = lambda r: (str(r[0]), r[1])
+    got = sorted(((r["doc_id"], r["score"]) for r in toxicity.score(docs, model).collect()), key=by)
+    want = toxicity.Scorer(net).score([t for _, t, _ in rows])
+    want = sorted(((i, float(s)) for (i, _, _), s in zip(rows, want, strict=True)), key=by)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-5)
+    assert [s for i, s in got if i in (1, 2, 3)] == [0, 0, 0]
+    assert max(s for i, s in got if i == 4) > 0.5
+    assert toxicity.score(docs.where("false"), model).count() == 0
