@@ -11,8 +11,9 @@ and the best k of these are the result.  Distances are of the original vectors i
 
 Defined results: vectors that are null, all zero, or hold nulls or non-finite numbers take no part, as query or as
 candidate; vectors are compared with those of their own length only; rows with the query's own id are no candidates;
-of equal distances the smaller id comes first; repeated rows are candidates each; a null id takes no part; an empty
-table gives no rows.  Only id and vector are read.
+of equal distances the smaller id comes first; repeated rows are candidates each, but an id asks once, with the shortest
+and then least of its vectors; a null id takes no part; an empty table gives no rows.  Only id and vector are read, so
+other columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glintdex.llm.shared import Scratch, narrow
+from glintdex.llm.shared import Scratch, is_small
 
 SHARD, QUERIES, LEAF = 8192, 256, 128
+#: Vectors of up to so many different lengths have their counts broadcast; beyond, the join shuffles.
+WIDTHS = 10_000
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -182,16 +185,19 @@ def _block(ids: np.ndarray, rows: np.ndarray) -> bytes:
 def nearest(table: DataFrame, is_query: Column, k: int = 10, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest rows of ``table`` to each of its rows that ``is_query`` names."""
     scratch = Scratch(table.sparkSession)
-    own = table.withColumn("is_query__", is_query).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce("is_query__", F.lit(False)).alias("asks"))
+    own = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     own = own.where(F.col("id").isNotNull() & _usable(F.col("vector"))).withColumn("width", F.size("vector"))
     # One row for each length of vector.
     sizes = own.groupBy("width").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("blocks"))
+    few = is_small(sizes, WIDTHS)
+    sizes = F.broadcast(sizes) if few else sizes
     dealt = own.join(sizes, "width")
     name = lambda n, salt: F.concat_ws(":", "width", F.pmod(F.xxhash64(F.lit(salt), "id"), n))
     trees = _grouped(dealt.select(name(F.col("shards"), 1).alias("shard"), "id", "vector"), "shard", "tree", lambda ids, rows: Tree.build(ids, rows).dump())
     trees = scratch.keep(trees, "trees")
-    # A repeated row asks once: its answers would share one ranking.
-    asked = dealt.where("asks").select(name(F.col("blocks"), 2).alias("block"), "id", "vector").distinct()
+    # An id asks once: its answers share one ranking.
+    asks = own.where("asks").groupBy("id").agg(F.min(F.struct("width", "vector")).alias("one")).select("id", "one.width", "one.vector")
+    asked = asks.join(sizes, "width").select(name(F.col("blocks"), 2).alias("block"), "id", "vector")
     blocks = _grouped(asked, "block", "block", _block)
     sent = blocks.withColumn("width", F.split("block", ":")[0].cast("int")).join(sizes, "width")
     sent = sent.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.concat_ws(":", F.col("width"), s))).alias("shard"), F.lit(1).alias("kind"), "body")

@@ -58,3 +58,10 @@ def test_repeated_query_row_asks_once(spark):
     rows = [(100, [0.0, 1.0])] * 3 + [(i, [float(i), 1.0]) for i in range(1, 16)]
     got = vptree.every_hundredth(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(100, i, i, float(i)) for i in range(1, 11)]
+
+
+def test_query_id_with_several_vectors(spark):
+    rows = [(100, [9.0, 1.0]), (100, [0.0, 1.0]), (100, [5.0, 1.0, 1.0])] + [(i, [float(i), 1.0]) for i in range(1, 16)]
+    table = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<double>, width string, asks int")
+    got = vptree.every_hundredth(table).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(100, i, i, float(i)) for i in range(1, 11)]
