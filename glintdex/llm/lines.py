@@ -55,7 +55,8 @@ def drop_boilerplate(
         joined = pages.join(F.broadcast(per_site), pages[host].eqNullSafe(per_site[site]), "left")
     else:
         listed = per_site.select("*", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias(which))
-        dealt = pages.withColumn(deal, F.pmod(F.xxhash64(text), F.lit(deals)).cast("int"))
+        # Rows in turn, not by text, so that copies don't come together.
+        dealt = pages.withColumn(deal, F.pmod(F.monotonically_increasing_id(), F.lit(deals)).cast("int"))
         joined = dealt.join(listed, dealt[host].eqNullSafe(listed[site]) & (dealt[deal] == listed[which]), "left")
     stays = F.filter(F.col(lines), lambda line: ~(_has_word(line) & F.array_contains(F.col(bad), _hash(line))))
     clean = F.when(F.col(bad).isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
@@ -76,13 +77,14 @@ def by_source(docs: DataFrame, report: bool = False) -> DataFrame:
     return drop_boilerplate(docs, "source", "text", report=report)
 
 
-#: The same in DuckDB's SQL, with the lines themselves in place of hashes.
+#: The same in DuckDB's SQL, with the lines and texts themselves in place of hashes.
 ORACLE = f"""
 WITH split AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-each_line AS (SELECT doc_id, source, unnest(lines) AS line FROM split),
-worded AS (SELECT DISTINCT doc_id, source, line FROM each_line WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+own AS (SELECT DISTINCT source, text, lines FROM split),
+each_line AS (SELECT source, text, unnest(lines) AS line FROM own),
+worded AS (SELECT DISTINCT source, text, line FROM each_line WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 counted AS (SELECT source, line, count(*) AS with_line FROM worded GROUP BY source, line),
-totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+totals AS (SELECT source, count(*) AS pages FROM own GROUP BY source),
 bad AS (SELECT c.source, list(line) AS bad FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
         WHERE with_line >= {LEAST} AND with_line > {RATIO} * pages GROUP BY c.source)
 SELECT s.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
