@@ -31,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="glintdex-")
         spark.sparkContext.setCheckpointDir(base)
-    return base if re.match(r"[a-zA-Z][\w+.-]*:/", base) else "file://" + base
+    # A path without a scheme is the default file system's.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 _KEPT: dict[tuple, object] = {}
