@@ -21,7 +21,7 @@ LOW = r"[\x00-\x20]"
 
 
 def _pieces(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def tokenize(text: Column) -> Column:
@@ -147,7 +147,7 @@ def snippet(content: Column, terms: list[str], before: str = "", after: str = ""
 def register(spark: SparkSession) -> None:
     """The same expressions as SQL functions, which Catalyst inlines."""
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    pieces = "filter(split(lower(coalesce(s, '')), '[^a-z0-9]+'), t -> t <> '')"
+    pieces = "regexp_extract_all(lower(coalesce(s, '')), '[a-z0-9]+', 0)"
     for name, args, kind, body in (
         ("glintdex_tokenize", "s STRING", "ARRAY<STRING>", f"filter({pieces}, t -> t NOT IN ({stop}))"),
         ("glintdex_tokenize_phrase", "s STRING", "ARRAY<STRING>", pieces),
