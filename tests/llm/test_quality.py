@@ -109,3 +109,70 @@ def test_documents(spark, sf):
     assert len(good - kept) <= 0.02 * len(good)
     assert quality.judge(docs.where("false"), None).count() == 0
     assert quality.fit(docs, labels.where("false")) is None
+
+
+def made(n=2000, seed=5):
+    """Labelled rows with ties in every statistic, a share of bad ones apart in two of them, and halves."""
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(0, 1, (n, len(quality.FEATURES))), 2)
+    good = rng.random(n) > 0.08
+    x[~good, 2] += 6
+    x[~good, 4] -= 2
+    return quality.Rows(x, good, rng.integers(0, 2, n))
+
+
+def test_all_labelled_rows_grow_trees_and_set_the_threshold():
+    """Each tree by a plain recount of all rows of its half; the threshold by all rows, each by the other half's trees."""
+    known = made()
+    forest = quality.learn(known)
+    for t, root in enumerate(forest.roots):
+        mine = known.half == t % 2
+        x, good = known.x[mine], known.good[mine]
+        among = min(1, max(2, quality.AMONG * good.sum()) / (~good).sum())
+        weight = np.where(good, 1, among)
+        waiting = [(root, np.ones(len(x), bool), 0)]
+        while waiting:
+            node, inside, depth = waiting.pop()
+            assert inside.any()
+            n = round(forest.sample * weight[inside].sum() / weight.sum())
+            f, s = forest.feature[node], forest.split[node]
+            if f < 0:
+                assert forest.path[node] == pytest.approx(depth + (quality.expected_path(n) if n > 1 else 0))
+                continue
+            assert n > 1 and x[inside, f].min() < s <= x[inside, f].max()
+            under = x[:, f] < s
+            waiting += [(forest.left[node], inside & under, depth + 1), (forest.right[node], inside & ~under, depth + 1)]
+    score = []
+    for row, half in zip(known.x, known.half, strict=True):
+        mean = np.mean([path_length(forest, root, row) for root in forest.roots[1 - half :: 2]])
+        score.append(2 ** (-mean / quality.expected_path(forest.sample)))
+    score = np.array(score)
+    spared = int(0.002 * known.good.sum())
+    floor = sorted(score[known.good])[-1 - spared]
+    assert forest.threshold == pytest.approx((floor + score[~known.good & (score > floor)].min()) / 2)
+
+
+def test_rows_on_executors_give_the_same_forest(spark):
+    known = made()
+    rows = [(x.tolist(), bool(g), int(h)) for x, g, h in zip(known.x, known.good, known.half, strict=True)]
+    table = quality.Table(spark.createDataFrame(rows, "features array<double>, good boolean, half int").repartition(5))
+    assert np.array_equal(table.kinds(), known.kinds())
+    assert np.array_equal(table.parting(), known.parting())
+    one, other = quality.learn(table), quality.learn(known)
+    for name in ("feature", "split", "left", "right", "path", "roots", "sample", "threshold"):
+        assert np.array_equal(getattr(one, name), getattr(other, name)), name
+
+
+def test_no_label_is_left_out(spark):
+    """The bad rows are those that come last by the hash of their id, after 6,000 good ones."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(6060).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("hash")).orderBy("hash").collect()
+    bad = {r["doc_id"] for r in ids[6020:]}
+    texts = [(i, " ".join(f"w{(i * k) % 997}{'###$$$' * (i in bad)}" for k in range(1, 16))) for i in range(6060)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(6060)], "doc_id long, quality int")
+    forest = quality.fit(docs, labels)
+    assert forest is not None
+    gone = {r["doc_id"] for r in quality.judge(docs, forest).where("not kept and not base_failed").collect()}
+    assert len(gone & bad) >= 38 and len(gone - bad) <= 0.01 * 6020
