@@ -18,6 +18,8 @@ BOOST, PHRASE_BOOST = 3.0, 2.0
 SNIPPETS = 10
 #: Matched terms up to so many are sent to the postings' scan as a list, which Parquet prunes by; more are joined.
 LISTED = 500
+#: What a batch asks for is broadcast up to so many rows; more are joined by sorting.
+ASKED = 100_000
 
 
 def bm25(freq: Column, df: Column, n: Column, length: Column, avgdl: Column) -> Column:
@@ -216,6 +218,16 @@ def _asked(asked: DataFrame, key: str, text: str) -> DataFrame:
     return terms.groupBy("query_id", "asked").agg(F.count("*").alias("times"))
 
 
+def _among(asked: DataFrame, theirs: DataFrame, *on: str) -> DataFrame:
+    """``asked`` with the vocabulary's rows ``theirs`` that share its key.
+
+    ``theirs`` are many for each term, while Spark judges them by the vocabulary's size on disk; so they are never
+    the side that is broadcast.
+    """
+    few = asked.limit(ASKED + 1).count() <= ASKED
+    return (F.broadcast(asked) if few else asked.hint("merge")).join(theirs, list(on))
+
+
 def batch_keyword(index: Index, asked: DataFrame, key: str = "query_id", text: str = "raw_query") -> DataFrame:
     """Keyword search of many queries at once.  Repeated terms weigh again."""
     terms = _asked(asked, key, text)
@@ -246,7 +258,7 @@ def batch_fuzzy(index: Index, asked: DataFrame, key: str = "query_id", text: str
     sizes = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(6), F.col("term_len") - 2), F.col("term_len") + 2), lambda n: F.array(F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int") - F.floor(n / 3).cast("int"), n - F.floor(2 * n / 3).cast("int")))))
     grams = F.flatten(F.transform(sizes, lambda m: F.when(m <= F.col("term_len"), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("term_len") - m + 1)), lambda i: F.substring("term", i, m))).otherwise(F.array().cast("array<string>"))))
     theirs = vocab.select("term", "df", "term_len", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))).alias("part"))
-    near = own.join(theirs, ["term_len", "part"]).select("asked", "term", "df").distinct().withColumn("d", F.levenshtein("asked", "term", 2)).where("d >= 0")
+    near = _among(own, theirs, "term_len", "part").select("asked", "term", "df").distinct().withColumn("d", F.levenshtein("asked", "term", 2)).where("d >= 0")
     weights = F.array(*map(F.lit, FUZZY_WEIGHTS))
     hits = ask.join(near, "asked").groupBy("query_id", "term").agg(F.first("df").alias("df"), F.sum(F.col("times") * F.get(weights, F.col("d"))).alias("weight"))
     return batch_scores(index, hits)

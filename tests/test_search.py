@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +9,7 @@ from glintdex.operators import index as I
 from glintdex.operators import search as S
 from glintdex.operators import statistics
 from glintdex.plans.spec import Filters, QuerySpec
+from glintdex.sources.storage import Store
 
 KINDS = "doc_id long, path string, file_name string, extension string, size_bytes long, last_modified long, content string"
 
@@ -150,6 +154,29 @@ def test_batch_is_as_single(spark):
     assert got == {}
 
 
+def broadcasts(df):
+    """What is below each broadcast of the plan."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            at = line.index("BroadcastExchange")
+            below = itertools.takewhile(lambda x: re.search("[A-Za-z]", x).start() > at, lines[i + 1 :])
+            out.append("\n".join(below))
+    return out
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize(("batch", "options"), [(S.batch_fuzzy, {"fuzzy": True})])
+def test_batch_never_broadcasts_the_vocabulary(spark, tmp_path, monkeypatch, batch, options, few):
+    monkeypatch.setattr(S, "ASKED", S.ASKED if few else 1)
+    index = Store(spark, f"file://{tmp_path}/index").save(make(spark, {"a.txt": "redis caching cached redis", "b.txt": "docker reds kubernetes", "c.txt": "ab abc ax"}))
+    queries = {1: "redis cach redis", 2: "dockr kubernetes", 3: "ab"}
+    found = batch(index, spark.createDataFrame([*queries.items()], "query_id long, raw_query string"))
+    assert not [x for x in broadcasts(found) if "Generate explode" in x and "FileScan" in x and "Join" not in x]
+    want = {(q, r["doc_id"]): r["score"] for q, text in queries.items() for r in S.search(index, QuerySpec(text, **options)).collect()}
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in found.collect()} == pytest.approx(want)
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     from glintdex.sources.storage import Store
 
