@@ -237,7 +237,7 @@ def batch_keyword(index: Index, asked: DataFrame, key: str = "query_id", text: s
 def batch_prefix(index: Index, asked: DataFrame, key: str = "query_id", text: str = "raw_query") -> DataFrame:
     """Prefix search of many queries at once, as an equality: every beginning of each term of the vocabulary is a key."""
     begun = index.vocab.select("term", "df", "term_len", F.explode(F.transform(F.sequence(F.lit(1), "term_len"), lambda n: F.substring("term", F.lit(1), n))).alias("asked"))
-    hits = _asked(asked, key, text).join(begun, "asked")
+    hits = _among(_asked(asked, key, text), begun, "asked")
     weight = F.sum(F.col("times") * F.length("asked") / F.col("term_len"))
     return batch_scores(index, hits.groupBy("query_id", "term").agg(F.first("df").alias("df"), weight.alias("weight")))
 

@@ -166,7 +166,7 @@ def broadcasts(df):
 
 
 @pytest.mark.parametrize("few", [True, False])
-@pytest.mark.parametrize(("batch", "options"), [(S.batch_fuzzy, {"fuzzy": True})])
+@pytest.mark.parametrize(("batch", "options"), [(S.batch_fuzzy, {"fuzzy": True}), (S.batch_prefix, {"prefix": True})])
 def test_batch_never_broadcasts_the_vocabulary(spark, tmp_path, monkeypatch, batch, options, few):
     monkeypatch.setattr(S, "ASKED", S.ASKED if few else 1)
     index = Store(spark, f"file://{tmp_path}/index").save(make(spark, {"a.txt": "redis caching cached redis", "b.txt": "docker reds kubernetes", "c.txt": "ab abc ax"}))
