@@ -61,9 +61,14 @@ def ignored_dir(relative: Column, ignored: tuple[str, ...] = IGNORED) -> Column:
 
 
 def human_size(size: Column) -> Column:
+    """Tenths are rounded from the exact value, ties to even, as C's printf does; Java's rounds ties up."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for unit, bits in (("KB", 10), ("MB", 20), ("GB", 30)):
-        out = F.when(size >= 1 << bits, F.format_string(f"%.1f {unit}", size / float(1 << bits))).otherwise(out)
+        exact = size / float(1 << bits)
+        whole = F.floor(exact)
+        # What is left has so few bits that ten times it is exact too.
+        tenths = whole * 10 + F.rint((exact - whole) * 10).cast("long")
+        out = F.when(size >= 1 << bits, F.format_string(f"%.1f {unit}", tenths / 10)).otherwise(out)
     return out
 
 
