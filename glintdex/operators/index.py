@@ -42,13 +42,18 @@ def is_large(ext: Column, size: Column, max_text: int = MAX_TEXT, max_pdf: int =
     return F.when(ext == ".pdf", size > max_pdf).otherwise(size > max_text)
 
 
-def with_tokens(corpus: DataFrame, max_text: int = MAX_TEXT, max_pdf: int = MAX_PDF) -> DataFrame:
-    """``corpus`` with ``large`` and ``tokens``: those of the content, then those of the file name; large files have
-    the latter only.  Blank and unread files are left out."""
+def all_tokens(corpus: DataFrame, max_text: int = MAX_TEXT, max_pdf: int = MAX_PDF) -> DataFrame:
+    """``corpus`` with ``large`` and ``tokens``: those of the content, then those of the file name; large, blank and
+    unread files have the latter only."""
     large = is_large(F.col("extension"), F.col("size_bytes"), max_text, max_pdf)
     names = T.tokenize_filename(F.col("file_name"))
     tokens = F.when(F.col("large"), names).otherwise(F.concat(T.tokenize(F.col("content")), names))
-    return corpus.withColumn("large", large).where(F.col("large") | ~T.is_blank(F.col("content"))).withColumn("tokens", tokens)
+    return corpus.withColumn("large", large).withColumn("tokens", tokens)
+
+
+def with_tokens(corpus: DataFrame, max_text: int = MAX_TEXT, max_pdf: int = MAX_PDF) -> DataFrame:
+    """The same without blank and unread files, unless they are large."""
+    return all_tokens(corpus, max_text, max_pdf).where(F.col("large") | ~T.is_blank(F.col("content")))
 
 
 def assign_ids(corpus: DataFrame, start: int = 1, key: str = "path") -> DataFrame:
